@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stilus.llm import kneser_ney, packing
+from stilus.llm import cascade, kneser_ney, mixing, packing, partenum
 from stilus.llm.common import documents
 
 
@@ -15,6 +15,18 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity_scores(documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_documents(documents(spark, sf_dir), width=3, percent=90)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(documents(spark, sf_dir))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.measured(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,7 +35,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_lm_scoring": op2_lm_scoring, "op6_packing": op6_packing}
+    found = [op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_packing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
