@@ -85,6 +85,17 @@ def n_repeat_words(slab: Slab) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+def n_stutters(slab: Slab) -> np.ndarray:
+    """Words equal to the word before them."""
+    starts, ends, first = slab.words
+    words = slab.hashes(starts, ends, lower=True)
+    same = np.zeros(len(words) + 1, np.int64)
+    same[1:-1] = words[1:] == words[:-1]
+    same[first[:-1]] = 0
+    sums = np.concatenate([[0], np.cumsum(same)])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
@@ -109,6 +120,7 @@ def shape_rules() -> list[Rule]:
     return [
         Rule("symbols", lambda s: n_symbols(s) > 0.1 * n_words(s)),
         Rule("repeated lines", lambda s: n_dup_lines(s) > 0.3 * np.diff(s.lines[2])),
+        Rule("stuttering", lambda s: n_stutters(s) > 0.3 * n_words(s)),
         Rule("word length", lambda s: (m := _share(word_chars(s), n_words(s))) * (m < 2) + (m > 20) > 0),
         Rule("capitals", lambda s: _share(s.count(_UPPER), s.count(_LETTER)) > 0.5),
         Rule("few letters", lambda s: _share(s.count(_LETTER), np.diff(s.offsets)) < 0.4),
