@@ -119,7 +119,7 @@ def shape_rules() -> list[Rule]:
     """Rules on the shape of a text. They leave running prose of any language alone."""
     return [
         Rule("symbols", lambda s: n_symbols(s) > 0.1 * n_words(s)),
-        Rule("repeated lines", lambda s: n_dup_lines(s) > 0.3 * np.diff(s.lines[2])),
+        Rule("repeated lines", lambda s: (d := n_dup_lines(s)) * (d > 2) > 0.3 * np.diff(s.lines[2])),
         Rule("stuttering", lambda s: n_stutters(s) > 0.3 * n_words(s)),
         Rule("word length", lambda s: (m := _share(word_chars(s), n_words(s))) * (m < 2) + (m > 20) > 0),
         Rule("capitals", lambda s: _share(s.count(_UPPER), s.count(_LETTER)) > 0.5),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stilus.llm import cascade, kneser_ney, mixing, packing, partenum
+from stilus.llm import cascade, kneser_ney, mixing, packing, partenum, sanitise, urltree
 from stilus.llm.common import documents
 
 
@@ -34,8 +34,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
+#: The rules of the URL filter's query.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose id its path ends in: bad if toxic or of low quality."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    _, path = urltree.host_and_path(F.col("url"))
+    keyed = pages.withColumn("doc_id", F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long"))
+    return urltree.judged(keyed.join(labels, "doc_id", "left").select("page_id", "url", "bad"), URL_RULES)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(sanitise.found_spans(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_packing]
+    found = [op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_packing, op8_url_filters, op9_pii]
     return {f.__name__: f for f in found}
 
 
