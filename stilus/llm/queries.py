@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stilus.llm import cascade, kneser_ney, mixing, packing, partenum, sanitise, urltree
+from stilus.llm import cascade, kneser_ney, langid, linededup, mixing, packing, partenum, sanitise, urltree, vptree
 from stilus.llm.common import documents
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vptree.nearest(vectors, vectors.filter("id % 50 = 0"), k=5)
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity_scores(documents(spark, sf_dir))
 
@@ -34,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_counts(documents(spark, sf_dir))
+
+
 #: The rules of the URL filter's query.
 URL_RULES = [
     ("block", "com/en/"),
@@ -58,8 +67,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.digests(sanitise.found_spans(documents(spark, sf_dir)))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return langid.identify(pages, *langid.fit(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_packing, op8_url_filters, op9_pii]
+    found = [op1_nearest, op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_packing, op7_line_dedup, op8_url_filters, op9_pii, op10_language_id]
     return {f.__name__: f for f in found}
 
 

@@ -178,3 +178,30 @@ def shingle_sets(slab: Slab, width: int) -> tuple[np.ndarray, np.ndarray]:
     fresh[1:] = (rolled[1:] != rolled[:-1]) | (owner[1:] != owner[:-1])
     rolled, owner = rolled[fresh], owner[fresh]
     return rolled, np.searchsorted(owner, np.arange(slab.n + 1))
+
+
+_STEP = 0x9E6C63D0876A9A47
+_STEP_INVERSE = pow(_STEP, -1, 1 << 64)
+
+
+class Sequences:
+    """Hashes of ranges of a word sequence, also with one word left out, by prefix sums."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words) + 1
+        self.power, self.inverse = np.full((2, n + 1), 1, np.uint64)
+        for powers, base in ((self.power, _STEP), (self.inverse, _STEP_INVERSE)):
+            powers[1:] = base
+            np.cumprod(powers, out=powers)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(words * self.power[: n - 1], out=self.sums[1:])
+
+    def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the words from a to b, b exclusive."""
+        return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64))
+
+    def without(self, a: np.ndarray, b: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Of the words from a to b but word i: equals ``span`` of the same words."""
+        left = (self.sums[i] - self.sums[a]) * self.inverse[a]
+        right = (self.sums[b] - self.sums[i + 1]) * self.inverse[a + 1]
+        return mix(left + right + (b - a - 1).astype(np.uint64))
