@@ -14,8 +14,10 @@ and a set signs with its empty projections only if it has more of them than
 that; as agreeing projections are empty together, no pair needs them else.
 
 Equal sets are one node, known by a fingerprint. Nodes that share a signature
-are compared with the smallest of them; only where these links leave a shared
-signature in several components are the pairs across components compared.
+are compared with the smallest of them. Where these links leave a shared
+signature in several components, the nodes around it are a cluster to compare
+in full: block against block, as matrix products that give back a forest of
+links, never a row for each pair.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ _U = np.uint64
 FEW = 64
 #: Signatures that a task holds before it sends them.
 HELD = 3_000_000
+#: Nodes of a block, and shingles of a matrix, that are compared at once.
+TOGETHER, COLUMNS = 512, 4096
 #: Up to this size of the larger set, and two differences, subsets of elements are enumerated.
 SMALL = 16
 
@@ -242,16 +246,75 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table(columns, ["sig", "a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: their shingles are read again from one text of each node."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _items_of(nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """node and its shingles, read again from one text of each of ``nodes``."""
     from_docs = nodes.join(sets, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    items = texts.join(from_docs, "doc_id", "left_semi").select("text").mapInArrow(_items(width), "node long, items array<long>")
+    return texts.join(from_docs, "doc_id", "left_semi").select("text").mapInArrow(_items(width), "node long, items array<long>")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar."""
+    items = _items_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), sets, texts, width)
     both = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _compared(percent: int):
+    """Links (a, b) that join the components of two blocks of nodes (or of one): a forest, not all pairs.
+
+    Common shingles are counted by products of incidence matrices, some
+    columns at a time; shingles of a single node do not count.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        lists = table.column("items").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        items, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(nodes)), size)
+        _, which, times = np.unique(items, return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        use = shared[which]
+        of, which = of[use], place[which[use]]
+        order = np.argsort(which, kind="stable")
+        of, which = of[order], which[order]
+        same = bool((own == own[0]).all())
+        left, right = (np.arange(len(nodes)),) * 2 if same else (np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min()))
+        common = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(which, [low, low + COLUMNS])
+            part = np.zeros((len(nodes), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+            part[of[a:b], which[a:b] - low] = 1
+            common += part[left] @ part[right].T
+        similar = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        x, y = np.nonzero(similar)
+        x, y = left[x], right[y]
+        x, y = x[x != y], y[x != y]
+        root = np.arange(len(nodes))
+        while len(x):
+            low = np.minimum(root[x], root[y])
+            seen = root.copy()
+            np.minimum.at(root, root[x], low)
+            np.minimum.at(root, root[y], low)
+            root = root[root]
+            if (seen == root).all():
+                break
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table([pa.array(nodes[root[linked]]), pa.array(nodes[linked])], ["a", "b"])
+
+    return run
+
+
+def _blocks(open_: DataFrame, items: DataFrame) -> DataFrame:
+    """Nodes dealt to the pairs of blocks in which those of a cluster meet: cluster, i, j, own, node, items."""
+    sized = open_.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", F.expr(f"cast(ceil(n / {TOGETHER}) as int)").alias("blocks"))
+    dealt = open_.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    return met.join(items, "node")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Components of ``docs`` (doc_id, text) whose ``width``-word shingle sets have Jaccard similarity of ``percent`` or more.
 
@@ -279,18 +342,13 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     held = shared.filter("sig is not null").select("sig", F.col("a").alias("node")).distinct()
     held = held.join(components, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    split = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    open_ = stage(held.join(split, "sig", "left_semi"), "open")
-    if not open_.isEmpty():
-        sizes = sets.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
-        sized = open_.join(sizes, "node")
-        x, y = (sized.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n"))) for k in ("x", "y"))
-        across = x.join(y, "sig").filter(f"component_x < component_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-        rest = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-        done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = stage(rest.join(done, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            components = connected(links.union(_links(rest, named, texts, width, percent)))
+    split = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high").select("sig", "first")
+    met = stage(held.join(split, "sig").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    if not met.isEmpty():
+        clusters = stage(connected(met).withColumnRenamed("component", "cluster"), "clusters")
+        items = _items_of(clusters.select("node"), named, texts, width).dropDuplicates(["node"])
+        more = _blocks(clusters, items).groupBy("cluster", "i", "j").applyInArrow(_compared(percent), "a long, b long")
+        components = connected(links.union(more))
 
     of = sets.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     first = of.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
