@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import WORD, stage, text_of
+from stilus.llm.common import WORD, stage, tasks, text_of
+from stilus.llm.sharing import shared
 from stilus.llm.textkit import Sequences, Slab, mix, slabs
 
 _U = np.uint64
@@ -45,14 +46,16 @@ def _lines(slab: Slab, least: int):
 
 
 def _halves(seq: Sequences, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of the halves that a line shares with one within an edit: as the shorter, or equal, and as the longer."""
-    out = []
-    for less in (0, 1):
-        n = b - a - less
-        half = n // 2
-        tag = mix((n * 4).astype(np.uint64))
-        out += [mix(seq.span(a, a + half) + tag), mix(seq.span(b - (n - half), b) + tag + _U(1))]
-    return np.stack(out, axis=1)
+    """Keys of the halves that a line shares with one within an edit: as the shorter, or equal, and as the longer.
+
+    A first and a last half of one less word are the same for odd and for even
+    lengths, so three keys are enough.
+    """
+    n = b - a
+    odd = n % 2
+    first, last = n // 2, (n + 1) // 2
+    other = np.where(odd == 1, mix(seq.span(b - first, b) + _U(1)), mix(seq.span(a, a + first - 1 + odd)))
+    return np.stack([mix(seq.span(a, a + first)), mix(seq.span(b - last, b) + _U(1)), other], axis=1)
 
 
 def _read(least: int, near: int):
@@ -63,7 +66,7 @@ def _read(least: int, near: int):
                 seq = Sequences(words)
                 halves = _halves(seq, a, b).view(np.int64)
                 long = b - a >= near
-                offsets = np.concatenate([[0], np.cumsum(np.where(long, 4, 0))]).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(np.where(long, 3, 0))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[long].ravel()))
                 at = pa.array(owner + slab.first)
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("place").take(at), pa.array(number.astype(np.int32)), pa.array(seq.span(a, b).view(np.int64)), keys], ["row", "place", "number", "line", "halves"])
@@ -90,12 +93,9 @@ def _variants(least: int):
                 line = seq.span(a, b)
                 keys = np.concatenate([line, seq.without(a[which], b[which], i)])
                 which, gone = np.concatenate([np.arange(len(n)), which]), np.concatenate([np.full(len(n), -1), i - a[which]])
-                at = pa.array((owner + slab.first)[which])
-                sequence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(gone < 0, n[which], 0))]).astype(np.int32)), pa.array(words[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(at), batch.column("place").take(at), pa.array(number[which].astype(np.int32)), pa.array(line[which].view(np.int64)), pa.array(n[which].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(gone.astype(np.int32)), sequence],
-                    ["row", "place", "number", "line", "n", "key", "gone", "words"],
-                )
+                spread = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+                sequence = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(gone < 0, n[which], 0))]).astype(np.int32)), pa.array(words[spread].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(line[which].view(np.int64)), pa.array(n[which].astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(gone.astype(np.int32)), sequence], ["line", "n", "key", "gone", "words"])
 
     return run
 
@@ -124,24 +124,27 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> Dat
     rows = _keyed(docs)
     lines = stage(rows.mapInArrow(_read(least, near), "row long, place long, number int, line long, halves array<long>"), "lines")
     order = F.struct("place", "row", "number")
-    first = stage(lines.groupBy("line").agg(F.min(F.struct(order.alias("order"), F.col("halves"))).alias("m"), F.count("*").alias("times")).select("line", "m.order", "m.halves", "times"), "first")
+    first = stage(lines.groupBy("line").agg(F.min(order).alias("order"), F.count("*").alias("times")), "first")
     again = lines.join(first.filter("times > 1").select("line", "order"), "line").filter(order > F.col("order"))
     equal = again.select("row", "number", F.lit(0).alias("edited"))
 
-    keys = first.filter(F.size("halves") > 0).select("line", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low <> high").select("half")
-    able = keys.join(shared, "half", "left_semi").select("line").distinct()
+    parts = max(tasks(docs.sparkSession), 40)
+    halves = lines.filter(F.size("halves") > 0).select(F.explode("halves").alias("key"), F.col("line").alias("value"), F.lit(0).alias("extra"))
+    able = shared(halves, parts).select(F.col("value").alias("line")).distinct()
     wanted = stage(first.select("line", "order").join(able, "line", "left_semi").groupBy("order.row").agg(F.collect_set("order.number").alias("wanted")), "wanted")
     if wanted.isEmpty():
         return equal
     held = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "row")
-    made = "row long, place long, number int, line long, n int, key long, gone int, words array<long>"
-    variants = stage(held.mapInArrow(_variants(least), made), "variants").withColumn("order", order)
+    variants = stage(held.mapInArrow(_variants(least), "line long, n int, key long, gone int, words array<long>"), "variants")
 
-    one = variants.filter("gone >= 0").select("key", "n", "gone", "line", "order")
+    met = shared(variants.select("key", F.col("line").alias("value"), F.col("gone").alias("extra")), parts)
+    met = met.distinct().select("key", F.col("value").alias("line"), F.col("extra").alias("gone"))
+    size = variants.filter("gone < 0").select("line", "n").distinct()
+    placed = stage(met.join(size, "line").join(first.select("line", "order"), "line"), "met")
+    one = placed.filter("gone >= 0")
     leads = one.groupBy("key", "n", "gone").agg(F.min(F.struct("order", "line")).alias("lead"), F.count("*").alias("times")).filter("times > 1").drop("times")
     replaced = one.join(leads, ["key", "n", "gone"]).filter("order > lead.order").select("line", F.col("lead.line").alias("other"))
-    whole = variants.filter("gone < 0").select("key", F.col("line").alias("whole"), F.col("order").alias("whole_order"))
+    whole = placed.filter("gone < 0").select("key", F.col("line").alias("whole"), F.col("order").alias("whole_order"))
     both = one.join(whole, "key").filter("line <> whole")
     later = F.col("order") > F.col("whole_order")
     inserted = both.select(F.when(later, F.col("line")).otherwise(F.col("whole")).alias("line"), F.when(later, F.col("whole")).otherwise(F.col("line")).alias("other"))
