@@ -125,8 +125,32 @@ def signatures(items: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.n
     return np.concatenate(out), np.concatenate(of)
 
 
+def bitmaps(items: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of its hashed items, of at least four bits an item and a power of two."""
+    out = []
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        bits = np.zeros(max(256, 1 << (4 * (b - a) - 1).bit_length()), bool)
+        bits[items[a:b] >> _U(64 - (len(bits).bit_length() - 1))] = True
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> int:
+    """How many items of two sets differ at least, by their bitmaps: a bit of one alone is an item of one alone.
+
+    The larger bitmap is folded to the size of the other: its neighbours there
+    share the leading bits of their hashes.
+    """
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        wide = np.unpackbits(y).reshape(8 * len(x), -1).any(axis=1)
+        y = np.packbits(wide)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(width: int):
-    """doc_id, n_shingles, fingerprint (null for the empty set)."""
+    """doc_id, n_shingles, fingerprint (null for the empty set), bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +158,27 @@ def _sets(width: int):
                 items, begin = shingle_sets(slab, width)
                 n = np.diff(begin)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(slab.first, slab.n), pa.array(n), pa.array(fingerprints(items, begin).view(np.int64), mask=n == 0)],
-                    ["doc_id", "n_shingles", "node"],
+                    [batch.column("doc_id").slice(slab.first, slab.n), pa.array(n), pa.array(fingerprints(items, begin).view(np.int64), mask=n == 0), pa.array(bitmaps(items, begin), pa.binary())],
+                    ["doc_id", "n_shingles", "node", "bits"],
                 )
 
     return run
 
 
+def _possible(percent: int):
+    """The pairs (a, b) whose bitmaps (x, y) and sizes (n, m) do not rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            most = n * (100 - percent) // (100 + percent)
+            pairs = zip(batch.column("x"), batch.column("y"), most.tolist(), strict=True)
+            keep = [differences(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= k for x, y, k in pairs]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _items(width: int):
     """fingerprint and shingles of the texts."""
 
@@ -182,14 +220,16 @@ def _signed(width: int, percent: int, parts: int):
         passed = passed[np.argsort(deal, kind="stable")]
         deal = np.sort(deal)
         cut, deals = np.searchsorted(by, np.arange(parts + 1)), np.searchsorted(deal, np.arange(parts + 1))
-        columns = [[], [], [], [], []]
+        names, index = np.unique(node, return_inverse=True)
+        low, high = (index & 0xFFFF).astype(np.uint16), (index >> 16).astype(np.uint16)
+        columns = [[] for _ in range(7)]
         for k in range(parts):
             s, p = sent[cut[k] : cut[k + 1]], passed[deals[k] : deals[k + 1]]
             if len(s) + len(p):
                 mine = many[s]
-                for c, v in zip(columns, (k, sig[s].tobytes(), node[s].tobytes(), sig[s][mine].tobytes(), np.stack([sig[p], node[p], lead[p]]).tobytes()), strict=True):
+                for c, v in zip(columns, (k, sig[s].tobytes(), low[s].tobytes(), high[s].tobytes(), names.tobytes(), sig[s][mine].tobytes(), np.stack([sig[p], node[p], lead[p]]).tobytes()), strict=True):
                     c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "sig", "node", "many", "passed"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "sig", "low", "high", "names", "many", "passed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -211,10 +251,12 @@ def _signed(width: int, percent: int, parts: int):
 def _shared(table: pa.Table) -> pa.Table:
     """Pairs of nodes to compare (sig null), and the nodes of each signature that three or more share."""
 
-    def read(name: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(name)])
+    def read(name: str, kind=np.uint64) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
 
-    sig, node, many = read("sig"), read("node"), np.unique(read("many"))
+    sig, many = np.concatenate(read("sig")), np.unique(np.concatenate(read("many")))
+    index = [low | high.astype(np.uint32) << 16 for low, high in zip(read("low", np.uint16), read("high", np.uint16), strict=True)]
+    node = np.concatenate([names[i] for names, i in zip(read("names"), index, strict=True)])
     passed = [np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for x in table.column("passed")]
     p_sig, p_node, p_lead = np.concatenate(passed, axis=1)
     order = np.lexsort((node, sig))
@@ -253,9 +295,13 @@ def _items_of(nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int) -
 
 
 def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    items = _items_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), sets, texts, width)
-    both = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    """The pairs (a, b) that are similar: those that bitmaps do not rule out are checked on the sets."""
+    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
+    known = sets.join(ends(pairs), "node", "left_semi").dropDuplicates(["node"])
+    x, y = (known.select(F.col("node").alias(e), F.col("n_shingles").alias(n), F.col("bits").alias(c)) for e, n, c in (("a", "n", "x"), ("b", "m", "y")))
+    able = stage(pairs.join(x, "a").join(y, "b").mapInArrow(_possible(percent), "a long, b long"), "possible")
+    items = _items_of(ends(able), sets, texts, width)
+    both = able.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -328,9 +374,9 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     """
     n = max(tasks(docs.sparkSession), 40)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sets = stage(texts.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long"), "sets")
-    named = sets.filter("doc_id is not null and node is not null").select("doc_id", "node")
-    packed = "part int, sig binary, node binary, many binary, passed binary"
+    sets = stage(texts.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long, bits binary"), "sets")
+    named = sets.filter("doc_id is not null and node is not null")
+    packed = "part int, sig binary, low binary, high binary, names binary, many binary, passed binary"
     signed = texts.filter("doc_id is not null").select("text").mapInArrow(_signed(width, percent, n), packed)
     shared = stage(signed.groupBy("part").applyInArrow(_shared, "sig long, a long, b long"), "shared")
     pairs = shared.filter("sig is null").select("a", "b").distinct()
