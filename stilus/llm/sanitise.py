@@ -141,18 +141,25 @@ def revealing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclo
     pairs = stage(often.select("entity", "term"), "pairs")
     if pairs.isEmpty():
         return pairs.select("term")
-    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    n = texts.count()
-    terms = pairs.select("term").distinct()
-    held = _among(_words(keyed, "row"), terms, "term", "left_semi").select("row", "term").distinct()
+    keyed = lambda t: t.withColumn("row", F.xxhash64("doc_id", "text"))
+    everything = F.log2(F.lit(float(texts.count()) + 1))
+    own = keyed(found).select("row", F.explode("entities").alias("e")).select("row", F.concat_ws(":", "e.kind", F.lower("e.match")).alias("entity")).distinct()
+    n_e = own.groupBy("entity").agg(F.count("*").alias("n_e"))
+
+    def told(n_t: str, n_te: str) -> Column:
+        return 1 - F.log2((F.col(n_t) + 1) / F.col(n_te)) / (everything - F.log2("n_e"))
+
+    # A term of too many texts that hold entities tells too little, however many others have it.
+    there = _among(_words(keyed(found), "row"), pairs.select("term").distinct(), "term", "left_semi").select("row", "term").distinct()
+    least = there.groupBy("term").agg(F.count("*").alias("least"))
+    able = stage(pairs.join(least, "term").join(n_e, "entity").filter(told("least", "n_e") >= disclosure).select("entity", "term", "n_e"), "able")
+    if able.isEmpty():
+        return able.select("term")
+    held = _among(_words(keyed(texts), "row"), able.select("term").distinct(), "term", "left_semi").select("row", "term").distinct()
     held = stage(held, "held")
     times = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    own = found.select(F.xxhash64("doc_id", "text").alias("row"), F.explode("entities").alias("e")).select("row", F.concat_ws(":", "e.kind", F.lower("e.match")).alias("entity")).distinct()
-    n_e = own.groupBy("entity").agg(F.count("*").alias("n_e"))
-    both = held.join(own.join(pairs, "entity"), ["row", "term"]).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    rated = both.join(times, "term").join(n_e, "entity")
-    told = 1 - F.log2((F.col("n_t") + 1) / F.col("n_te")) / F.log2((F.lit(float(n)) + 1) / F.col("n_e"))
-    return rated.filter(told >= disclosure).select("term").distinct()
+    both = held.join(own.join(able.select("entity", "term"), "entity"), ["row", "term"]).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    return both.join(times, "term").join(n_e, "entity").filter(told("n_t", "n_te") >= disclosure).select("term").distinct()
 
 
 def found_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
