@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Marks that are removed, letters that are kept, and letters that are folded.
 MARKS = r"[ؐ-ًؚ-ٰٟۖ-ۭـ]"
@@ -28,7 +29,7 @@ FUNCTION_WORDS = (
 ).split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -7,6 +7,7 @@ import textwrap
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 CONTEXT = 70
 
@@ -59,7 +60,7 @@ def ass_timestamp(seconds: Column) -> Column:
 def wrapped(width: int = 52):
     """A UDF that wraps at spaces only: array of lines."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def wrap(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else textwrap.wrap(t, width=width, break_long_words=False, break_on_hyphens=False))
 
