@@ -9,9 +9,12 @@ part. For small sets the domain's elements are their own parts, and the
 enumerated subsets are the set without up to k elements. Either way, sets
 that are similar enough share a signature: no link is lost.
 
-A projection may be empty and say nothing. Bands have a few parts to spare,
-and a set signs with its empty projections only if it has more of them than
-that; as agreeing projections are empty together, no pair needs them else.
+A projection may be empty and say nothing. Bands have a few parts to spare: a
+pair agrees in one part more than these at least, and agreeing projections are
+empty together, so it agrees in one that is not empty if either set has no
+more empty ones than that. A set that has more signs again under another
+partition of the domain, as the other then does too. Only sets that fail in
+all of several turns sign with their empty projections.
 
 Equal sets are one node, known by a fingerprint. Nodes that share a signature
 are compared with the smallest of them. Where these links leave a shared
@@ -42,6 +45,8 @@ FEW = 64
 HELD = 3_000_000
 #: Nodes of a block, and shingles of a matrix, that are compared at once.
 TOGETHER, COLUMNS = 512, 4096
+#: Partitions of the domain that are tried in turn for sets with too many empty projections.
+TURNS = 8
 #: Up to this size of the larger set, and two differences, subsets of elements are enumerated.
 SMALL = 16
 
@@ -54,14 +59,16 @@ def bands(percent: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         last.append((last[-1] + 1) * 100 // percent)
     last.append((last[-1] + 1) * 100 // percent)
     k, parts, spare = [], [], []
+    smallest = 1
     for low, high in itertools.pairwise(last):
         differ = (low + high) * (100 - percent) // (100 + percent)
-        need, extra = differ // 2 + 1, 0
-        if 3 * need * np.exp(-low / need * 2 / 3) > 1e-3:
-            extra = 1 + -(-need // 50)
+        need = differ // 2 + 1
+        empty = 3 * need * np.exp(-smallest / need * 2 / 3)
+        extra = min(int(np.ceil(empty + np.sqrt(empty))), need // 4 + 1) if empty > 1e-2 else 0
         k.append(differ)
         parts.append(0 if differ <= 2 and high <= SMALL else need + extra)
         spare.append(extra)
+        smallest = low + 1
     return np.array(last), np.array(k), np.stack([parts, spare], axis=1)
 
 
@@ -74,6 +81,32 @@ def fingerprints(items: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix(a + mix(b + np.diff(begin).astype(np.uint64)))
 
 
+def _projections(keys: np.ndarray, begin: np.ndarray, made: np.ndarray, tag: np.ndarray, n1: np.ndarray, spare: np.ndarray, turn: int):
+    """Signatures of the sets ``made`` under one partition of the domain, and the sets with more empty projections than may be spared.
+
+    Those sets sign with their empty projections as well in the last turn.
+    """
+    seed = mix(np.array([turn + 1], np.uint64))[0]
+    cells = 3 * n1
+    base = np.concatenate([[0], np.cumsum(cells)])
+    n = begin[made + 1] - begin[made]
+    own = keys[np.repeat(begin[made] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    own = mix(own ^ seed) if turn else own
+    cell = np.repeat(base[:-1], n) + (own % np.repeat(cells, n).astype(np.uint64)).astype(np.int64)
+    full = np.bincount(cell, minlength=base[-1]).reshape(-1, 3)
+    sums = np.zeros(base[-1], np.uint64)
+    np.add.at(sums, cell, mix(own + _U(0x2545F4914F6CDD1D)))
+    sums = mix(sums).reshape(-1, 3)
+    owner = np.repeat(np.arange(len(made)), n1)
+    part = np.arange(len(owner)) - np.repeat(base[:-1] // 3, n1)
+    label = mix(part.astype(np.uint64) * _U(3) + mix(tag[owner].astype(np.uint64) * _U(TURNS) + _U((1 << 40) + turn)))
+    empty = np.stack([full[:, (j + 1) % 3] + full[:, (j + 2) % 3] == 0 for j in range(3)], axis=1)
+    over = np.bincount(owner, weights=empty.any(axis=1), minlength=len(made)) > spare
+    needed = ~empty | over[owner][:, None] if turn == TURNS - 1 else ~empty
+    sigs = [mix(sums[:, (j + 1) % 3] + mix(sums[:, (j + 2) % 3] + label + _U(j)))[needed[:, j]] for j in range(3)]
+    return np.concatenate(sigs), np.concatenate([made[owner[needed[:, j]]] for j in range(3)]), over
+
+
 def signatures(items: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of the sets, and the set each is of; the sets' items are distinct."""
     size = np.diff(begin)
@@ -99,27 +132,13 @@ def signatures(items: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.n
             out.append(sigs)
             of.append(np.full(len(sigs), x))
         made = np.flatnonzero(n1 > 0)
-        if not len(made):
-            continue
-        cells = 3 * n1[made]
-        base = np.concatenate([[0], np.cumsum(cells)])
-        n = size[made]
-        at = np.repeat(begin[made] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        cell = np.repeat(base[:-1], n) + (keys[at] % np.repeat(cells, n).astype(np.uint64)).astype(np.int64)
-        full = np.bincount(cell, minlength=base[-1]).reshape(-1, 3)
-        sums = np.zeros(base[-1], np.uint64)
-        np.add.at(sums, cell, mix(keys[at] + _U(0x2545F4914F6CDD1D)))
-        sums = mix(sums).reshape(-1, 3)
-        owner = np.repeat(np.arange(len(made)), n1[made])
-        part = np.arange(len(owner)) - np.repeat(base[:-1] // 3, n1[made])
-        label = mix(part.astype(np.uint64) * _U(3) + mix(tag[made][owner].astype(np.uint64) + _U(1 << 40)))
-        empty = np.stack([full[:, (j + 1) % 3] + full[:, (j + 2) % 3] == 0 for j in range(3)], axis=1)
-        blank = np.bincount(owner, weights=empty.any(axis=1), minlength=len(made))
-        needed = ~empty | (blank > parts[tag[made], 1])[owner][:, None]
-        for j in range(3):
-            sigs = mix(sums[:, (j + 1) % 3] + mix(sums[:, (j + 2) % 3] + label + _U(j)))
-            out.append(sigs[needed[:, j]])
-            of.append(made[owner[needed[:, j]]])
+        for turn in range(TURNS):
+            if not len(made):
+                break
+            sigs, owner, over = _projections(keys, begin, made, tag[made], n1[made], parts[tag[made], 1], turn)
+            out.append(sigs)
+            of.append(owner)
+            made = made[over]
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(of)
