@@ -7,6 +7,10 @@ passes the budget, sum only that bucket by the next ten bits, and once more.
 A larger budget has a larger threshold, so selections are nested. Sums are
 partial within tasks, so a source with most of the rows costs no more than
 any other; every step is a grouped sum or a join with one row per source.
+
+A long row at the threshold can miss the budget by half its size. So the
+longest rows get their threshold first, and each class of shorter ones then a
+threshold that makes up for what has been missed so far.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from stilus.llm.common import WORD, stage, text_of
 
 BITS, LEVELS = 10, 3
+#: Classes of rows by size: longer than the first, than the second, and so on.
+CLASSES = (2048, 256)
 
 
 def word_count(text: Column) -> Column:
@@ -51,13 +57,12 @@ def targets(sources: DataFrame, limit: float = 3.0) -> DataFrame:
     return rated.withColumn("target", F.coalesce(F.least("limit", F.col("rate") * F.col("weight")), F.lit(0.0))).drop("limit", "rate")
 
 
-def thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Add to (source, source_size, target) the copies all rows give, and the hash below which a row gives one more.
+def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """The hash below which each source's rows add up to its budget: source, threshold, left (of the budget; may be negative).
 
-    ``rows``: source, size, hash.
+    ``rows``: source, size, hash. ``budgets``: source, budget.
     """
-    plan = sources.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = stage(plan.select("source", "source_size", "target", "copies", (F.col("target") - F.col("copies") * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("threshold")), "mix")
+    plan = stage(budgets.select("source", "budget", F.lit(0).cast("long").alias("threshold")), "mix")
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         prefix = F.shiftright("hash", shift + BITS) == F.shiftright("threshold", shift + BITS)
@@ -72,23 +77,41 @@ def thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
             F.max("bucket").alias("last"),
         ).withColumnRenamed("source", "of")
         reached = plan.join(passed, F.col("source").eqNullSafe(F.col("of")), "left")
-        plan = stage(reached.select("source", "source_size", "target", "copies", (F.col("budget") - F.coalesce("given", F.lit(0))).alias("budget"), F.coalesce(F.shiftleft(F.coalesce("next", F.col("last") + 1), shift), "threshold").alias("threshold")), "mix")
-    return plan
+        plan = stage(reached.select("source", (F.col("budget") - F.coalesce("given", F.lit(0))).alias("budget"), F.coalesce(F.shiftleft(F.coalesce("next", F.col("last") + 1), shift), "threshold").alias("threshold")), "mix")
+    return plan.withColumnRenamed("budget", "left")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(text_of()).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
 
 
+def class_of(size: Column) -> Column:
+    """0 for the longest rows, and so on."""
+    return sum(((size <= most).cast("int") for most in CLASSES), F.lit(0))
+
+
 def plan_of(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
-    return thresholds(rows, targets(cycling_weights(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights), limit))
+    """For each source of ``rows`` (source, size, hash): source_size, target, the copies all rows give, and by class the hash below which rows give one more."""
+    own = class_of(F.col("size"))
+    classes = [F.coalesce(F.sum(F.when(own == k, F.col("size"))), F.lit(0)).alias(f"size_{k}") for k in range(len(CLASSES) + 1)]
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), *classes)
+    aimed = targets(cycling_weights(sizes, weights), limit)
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    part = F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0)) - F.col("copies")
+    plan = stage(aimed.withColumns({"copies": copies, "thresholds": F.expr("cast(array() as array<bigint>)"), "left": F.lit(0.0)}).withColumn("part", part), "mix")
+    for k in range(len(CLASSES) + 1):
+        found = thresholds(rows.filter(own == k), plan.select("source", (F.col("part") * F.col(f"size_{k}") + F.col("left")).alias("budget")))
+        joined = plan.drop("left").join(found.select(F.col("source").alias("of"), "threshold", "left"), F.col("source").eqNullSafe(F.col("of")))
+        plan = stage(joined.withColumn("thresholds", F.array_append("thresholds", F.col("threshold"))).drop("of", "threshold"), "mix")
+    return plan.select("source", "source_size", "target", "copies", "thresholds")
 
 
 def _given(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` with ``copies``: how often the mix takes each."""
-    own = plan.select(F.col("source").alias("of"), F.col("copies").alias("all"), "threshold", "source_size", "target")
+    """``rows`` (source, size, hash and others) with ``copies``: how often the mix takes each."""
+    own = plan.select(F.col("source").alias("of"), F.col("copies").alias("all"), "thresholds", "source_size", "target")
     joined = rows.join(own, F.col("source").eqNullSafe(F.col("of")), "left")
-    return joined.withColumn("copies", F.col("all") + (F.col("hash") < F.col("threshold")).cast("long")).drop("of", "all", "threshold")
+    below = F.col("hash") < F.get("thresholds", class_of(F.col("size")))
+    return joined.withColumn("copies", F.col("all") + below.cast("long")).drop("of", "all", "thresholds")
 
 
 def shares(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
@@ -98,6 +121,7 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float
     row's source) and taken (words, repeats counted; at most ``limit`` times
     the size, up to whole copies). Sources, null among them, weigh ``weights``
     in turn. The sum taken of a source differs from its target by about half a
+    row of the shortest class, if it has enough of them, else by half a longer
     row. Rows of equal doc_id share their hash and are taken alike, so reruns
     agree. Other columns are ignored; an empty table gives no rows.
     """
@@ -110,6 +134,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float
     """The rows of ``docs`` that the mix takes, each as often as it takes it, with all columns unchanged."""
     rows = stage(sized(docs), "sizes")
     plan = plan_of(rows, weights, limit)
-    whole = docs.select(F.struct("*").alias("row"), "source", row_hash(F.col("doc_id")).alias("hash"))
+    whole = docs.select(F.struct("*").alias("row"), "source", word_count(text_of()).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
     taken = _given(whole, plan).filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return taken.select("row.*")
