@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="stilus-"))
+    own = tempfile.mkdtemp(prefix="stilus-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir().rstrip("/")
 
 

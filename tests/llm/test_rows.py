@@ -329,3 +329,14 @@ def test_pipeline(spark, docs, sf_dir):
     assert {i: round(n, 6) for i, n in packed.items()} == dict(copies)
 
 
+
+
+def test_quality_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    df = queries.op5_quality_rules(spark, sf_dir)
+    rel = con.sql(queries.oracle_sql()["op5_quality_rules"])
+    place = [rel.columns.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in place) for r in rel.fetchall())
