@@ -485,7 +485,7 @@ def cue_segmentation(spark, sf_dir):
     return rounded(cues.cut(timed(spark, sf_dir)), "start", "end", places=3)
 
 
-@query("""SELECT event_id, s AS start, e AS "end", coalesce(s >= lag(e) OVER (PARTITION BY user_id ORDER BY s, e, event_id) - 0.01, true) AS follows FROM (SELECT event_id, user_id, CAST(event_id AS DOUBLE) AS s, event_id + 0.5 + event_id % 700 AS e FROM events)""")
+@query("""SELECT event_id, s AS start, e AS "end", coalesce(s >= lag(e) OVER (PARTITION BY user_id ORDER BY s, e, event_id) - 0.01, true) AS follows FROM (SELECT event_id, user_id, CAST(event_id AS DOUBLE) AS s, CAST(event_id + 0.5 + event_id % 700 AS DOUBLE) AS e FROM events)""")
 def cue_constraints_lag(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     start = F.col("event_id").cast("double")
