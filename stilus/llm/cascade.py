@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stilus.llm.common import text_of
+from stilus.llm.common import text_of, worker_cache
 from stilus.llm.textkit import Slab, mix, slabs, windows
 
 _U = np.uint64
@@ -209,6 +209,7 @@ def passing(docs: DataFrame, text: str = "text") -> DataFrame:
     rules = ordered(docs.select(docs[text].alias("text")), base_rules() + shape_rules())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             bad = [rejected(slab, rules) for slab in slabs(batch.column(text))]
             if bad:

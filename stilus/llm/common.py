@@ -62,6 +62,16 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str | None = None) -> dict:
+    """What an operator keeps in a reused worker from task to task; what others have kept there is dropped first."""
+    for name in [n for n in _caches if n != owner]:
+        _caches.pop(name).clear()
+    return _caches.setdefault(owner, {}) if owner else {}
+
+
 class Blobs:
     """Arrays kept as raw files in the shared folder, memory-mapped by readers.
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import stage, text_of
+from stilus.llm.common import stage, text_of, worker_cache
 
 #: Distinct words, and word pieces, that a worker remembers.
 CACHE = 600_000
@@ -84,12 +84,13 @@ class WordEncoder(dict):
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _CHUNKS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
-_encoders: dict[str, WordEncoder] = {}
-
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        encoders = worker_cache("packing")
+        if path not in encoders:
+            encoders[path] = WordEncoder(path)
+        encode = encoders[path]
         look, end = encode.__getitem__, np.array([end_id], encode.kind).tobytes()
         width = len(end)
         part, at = TaskContext.get().partitionId(), 0

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import stage, tasks, text_of
+from stilus.llm.common import stage, tasks, text_of, worker_cache
 from stilus.llm.components import connected
 from stilus.llm.textkit import Slab, mix, shingle_sets, slabs
 
@@ -42,7 +42,7 @@ _U = np.uint64
 #: Sets of one signature that a task sends one by one; it links more among themselves and sends the first.
 FEW = 64
 #: Signatures that a task holds before it sends them.
-HELD = 3_000_000
+HELD = 1_000_000
 #: Nodes of a block, and shingles of a matrix, that are compared at once.
 TOGETHER, COLUMNS = 512, 4096
 #: Partitions of the domain that are tried in turn for sets with too many empty projections.
@@ -172,6 +172,7 @@ def _sets(width: int):
     """doc_id, n_shingles, fingerprint (null for the empty set), bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             for slab in slabs(batch.column("text")):
                 items, begin = shingle_sets(slab, width)
@@ -251,6 +252,7 @@ def _signed(width: int, percent: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "sig", "low", "high", "names", "many", "passed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         held, n = [], 0
         for batch in batches:
             for slab in slabs(batch.column("text")):
