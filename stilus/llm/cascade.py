@@ -40,6 +40,10 @@ def n_words(slab: Slab) -> np.ndarray:
     return np.diff(slab.words[2])
 
 
+def n_chars(slab: Slab) -> np.ndarray:
+    return np.diff(slab.code_points()[slab.offsets])
+
+
 def word_chars(slab: Slab) -> np.ndarray:
     """Code points in words."""
     starts, ends, first = slab.words
@@ -123,7 +127,7 @@ def shape_rules() -> list[Rule]:
         Rule("stuttering", lambda s: n_stutters(s) > 0.3 * n_words(s)),
         Rule("word length", lambda s: (m := _share(word_chars(s), n_words(s))) * (m < 2) + (m > 20) > 0),
         Rule("capitals", lambda s: _share(s.count(_UPPER), s.count(_LETTER)) > 0.5),
-        Rule("few letters", lambda s: _share(s.count(_LETTER), np.diff(s.offsets)) < 0.4),
+        Rule("few letters", lambda s: _share(s.count(_LETTER), n_chars(s)) < 0.4),
         Rule("shouting", lambda s: s.count(_table("!")) > 0.3 * n_words(s)),
     ]
 

@@ -169,6 +169,21 @@ def test_cascade_order_does_not_change_the_verdict(docs, odd, empty):
     assert cascade.measured(empty).collect() == [] and cascade.passing(empty).collect() == []
 
 
+PROSE = {
+    "Devanagari": "आज सुबह गाँव के लोग नदी के किनारे मिले और उन्होंने नए पुल के बारे में बात की क्योंकि पुराना पुल बारिश में टूट गया था",
+    "Hangul": "오늘 아침 마을 사람들은 강가에 모여 새로운 다리에 대해 이야기를 나누었고 오래된 다리는 지난 여름 큰 비가 내렸을 때 무너져 더 이상 건널 수 없었다",
+    "Thai": "เช้า วันนี้ ชาวบ้าน มา พบ กัน ที่ ริม แม่น้ำ และ พูดคุย เรื่อง สะพาน ใหม่ เพราะ สะพาน เก่า พัง ลง เมื่อ ฝน ตก หนัก ใน ปี ก่อน",
+    "Arabic": "اجتمع أهل القرية هذا الصباح عند ضفة النهر وتحدثوا عن الجسر الجديد لأن الجسر القديم سقط في المطر ولم يعد أحد يستطيع أن يعبر إلى السوق",
+}
+
+
+def test_prose_of_any_script_is_kept(spark):
+    digits = " ".join(str(k) * 5 for k in range(10, 40))
+    df = spark.createDataFrame([*PROSE.items(), ("digits", digits)], "doc_id string, text string")
+    assert {r.doc_id: r.kept for r in cascade.measured(df).collect()} == dict.fromkeys(PROSE, True) | {"digits": False}
+    assert {r.doc_id for r in cascade.passing(df).collect()} == set(PROSE)
+
+
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
