@@ -2,10 +2,9 @@
 
 Path segments become a tree under each host. Segments that look variable
 (holding a digit, or very long) are generalised at once, keeping an extension.
-Going down level by level, the children of a node are generalised to a
-wildcard where there are very many, and merged into one where their labelled
-purity does not differ from that of the whole node; a child that differs
-stays apart. A template is rejected if its share of bad labels, smoothed by
+Going down level by level, the children of a node are merged into a wildcard
+where their labelled purity does not differ from that of the whole node; a
+child that differs stays apart, however many siblings it has. A template is rejected if its share of bad labels, smoothed by
 that of the node above and so on up to all hosts, passes a threshold.
 
 All statistics are sums grouped by (host, template), pre-aggregated within
@@ -22,8 +21,6 @@ from stilus.llm.common import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Levels of the tree; what lies deeper is one wildcard tail.
 DEPTH = 3
-#: A node with more children has a variable segment.
-CHILDREN = 64
 #: Standard errors by which a child must differ from its siblings to stay apart.
 APART = 2.58
 #: Labels' worth of trust in the node above.
@@ -78,11 +75,10 @@ def templates(pages: DataFrame) -> DataFrame:
     for k in keys:
         node = ["host", "template"]
         children = level.groupBy(*node, k).agg(*_sums(), F.first("purity").alias("above"))
-        count = children.groupBy(*node).agg(F.count("*").alias("children"))
         share = F.col("bad") / F.col("labels")
         differs = (F.col("labels") > 0) & (F.abs(share - F.col("above")) > APART * F.sqrt(F.col("above") * (1 - F.col("above")) / F.col("labels")))
-        own = F.when(F.col(k).isNull() | differs & (F.col("children") <= CHILDREN), F.col(k)).otherwise("*")
-        named = children.join(count, node).select(*node, k, own.alias("own"))
+        own = F.when(F.col(k).isNull() | differs, F.col(k)).otherwise("*")
+        named = children.select(*node, k, own.alias("own"))
         level = stage(level.join(named.withColumnsRenamed({c: f"_{c}" for c in (*node, k)}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*node, k)]).drop(*(f"_{c}" for c in (*node, k))).withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "own"), F.lit("")))).drop("own"), "tree")
         merged = level.groupBy("host", "template").agg(*_sums(), F.first("purity").alias("above"))
         rated = merged.select(F.col("host").alias("_h"), F.col("template").alias("_t"), smooth(F.col("above")).alias("_purity"))

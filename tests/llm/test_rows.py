@@ -249,6 +249,14 @@ def test_templates_tell_good_from_bad(spark):
     assert urltree.judged(df.filter("false"), []).collect() == []
 
 
+def test_different_child_stays_apart_from_many_siblings(spark):
+    sections = ["".join(chr(97 + int(d)) for d in f"{k:03}") for k in range(200)]
+    made = [(k, f"http://h.org/{sections[k % 200]}/{k}", False) for k in range(4000)]
+    made += [(5000 + k, f"http://h.org/spam/{k}", True) for k in range(1000)] + [(7000, "http://h.org/spam/x", None), (7001, "http://h.org/other/x", None)]
+    got = {r.page_id: r for r in urltree.judged(spark.createDataFrame(made, "page_id long, url string, bad boolean"), []).collect()}
+    assert all(r.verdict == ("block" if 5000 <= k <= 7000 else "allow") for k, r in got.items())
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
