@@ -27,8 +27,8 @@ from stilus.llm.sharing import shared
 from stilus.llm.textkit import Sequences, Slab, mix, slabs
 
 _U = np.uint64
-#: Lines of fewer words stay; lines of at least NEAR words may differ by a word.
-LEAST, NEAR = 4, 8
+#: Lines of fewer words stay (1: those without a word); lines of at least NEAR words may differ by a word.
+LEAST, NEAR = 1, 8
 #: Texts up to this number are looked up by broadcasting their keys; more by shuffling.
 BROADCAST = 300_000
 

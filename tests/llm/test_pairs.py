@@ -203,6 +203,14 @@ def test_edited_lines(spark):
     assert edited and equal
 
 
+def test_short_lines(spark):
+    texts = ["All rights reserved.\nfirst text\n\n---", "second text\nall rights reserved.\n\n---", "---\nAll Rights Reserved.", "first text here\n \n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_equal, r.n_edited, r.text) for r in linededup.line_counts(df).collect()}
+    assert got == {0: (4, 0, 0, texts[0]), 1: (4, 2, 0, "second text\n"), 2: (2, 2, 0, ""), 3: (4, 0, 0, texts[3])}
+    assert {r.doc_id for r in linededup.without_repeats(df).collect()} == {0, 1, 3}
+
+
 def test_odd_lines(odd, empty):
     got = {(r.doc_id, r.n_lines, r.n_equal, r.n_edited) for r in linededup.line_counts(odd).collect()}
     assert {(0, 1, 0, 0), (5, 1, 0, 0), (6, 1, 1, 0), (7, 1, 1, 0), (8, 1, 0, 1), (9, 4, 2, 0), (10, 1, 0, 0), (None, 1, 1, 0)} <= got
