@@ -1,11 +1,11 @@
 """Information-theoretic sanitisation of personal data.
 
-Patterns find protected entities. Terms near them can reveal them as well:
+Patterns find protected entities. Terms of their texts can reveal them as well:
 the corpus tells how much. With P(e) the share of texts that hold entity e and
 P(e | t) that of the texts with term t that do, a term discloses
-``1 - log P(e | t) / log P(e)`` of the entity's information. Terms near e in
-several different contexts whose disclosure passes a threshold are found
-wherever they stand, and removed together with the entities.
+``1 - log P(e | t) / log P(e)`` of the entity's information. Terms anywhere in
+several texts with e whose disclosure passes a threshold are found wherever
+they stand, and removed together with the entities.
 
 Only DataFrame functions are used. Positions are code points: a text's pieces
 between matches and the matches give them by running sums of their lengths.
@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 
 from stilus.llm.common import WORD, stage, text_of
 
-#: Words before and after an entity that are its context.
-NEAR = 5
-#: Different contexts in which a term must stand near an entity.
+#: Texts in which a term must stand with an entity.
 SUPPORT = 3
 #: Share of an entity's information that a term may not disclose.
 DISCLOSURE = 0.9
@@ -105,20 +103,6 @@ def term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, TRIM, ""))
 
 
-def _near(found: DataFrame) -> DataFrame:
-    """entity, context and the terms of the context, one row each: from rows of text and spans."""
-    one = found.select("text", F.explode("entities").alias("e"))
-    before = F.substring("text", F.greatest(F.col("e.start") - 400, F.lit(0)).cast("int") + 1, F.least(F.col("e.start"), F.lit(400)).cast("int"))
-    after = F.substring("text", (F.col("e.end") + 1).cast("int"), F.lit(400))
-    line = lambda x, end: F.element_at(F.split(x, "\n"), -1 if end else 1)
-    left = F.regexp_extract_all(line(before, True), F.lit(WORD), F.lit(0))
-    right = F.regexp_extract_all(line(after, False), F.lit(WORD), F.lit(0))
-    size = F.size(left)
-    context = F.concat(F.when(size > NEAR, F.slice(left, size - NEAR + 1, NEAR)).otherwise(left), F.slice(right, 1, NEAR))
-    terms = F.array_distinct(F.filter(F.transform(context, term), lambda t: (F.length(t) > 2) & ~t.rlike("[0-9@]")))
-    return one.select(F.concat_ws(":", "e.kind", F.lower("e.match")).alias("entity"), F.xxhash64(F.array_join(context, " ")).alias("context"), terms.alias("terms"))
-
-
 def _among(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
     """Join with a table of terms: broadcast if it is small, else by shuffling."""
     return left.join(F.broadcast(right) if right.limit(BROADCAST + 1).count() <= BROADCAST else right, on, how)
@@ -133,33 +117,35 @@ def _words(texts: DataFrame, *keys: str) -> DataFrame:
 def revealing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """The terms that disclose too much of some entity: term.
 
-    ``found``: text and entities of the texts that hold any. ``texts``: all.
+    ``found``: doc_id, text and entities of the texts that hold any. ``texts``: all.
     """
-    near = stage(_near(found), "near")
-    contexts = near.select("entity", "context", F.explode("terms").alias("term"))
-    often = contexts.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
-    pairs = stage(often.select("entity", "term"), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("term")
-    keyed = lambda t: t.withColumn("row", F.xxhash64("doc_id", "text"))
+    names = F.array_distinct(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], F.lower(e["match"]))))
+    own = F.transform("entities", lambda e: term(e["match"]))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    terms = F.array_except(F.transform(words, lambda w: F.regexp_replace(w, TRIM, "")), F.concat(own, F.array(F.lit(""))))
+    # Equal texts are one row with their number.
+    whole = found.dropDuplicates(["doc_id", "text"]).groupBy("text").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))
+    whole = stage(whole.select(F.xxhash64("text").alias("row"), "copies", names.alias("names"), terms.alias("terms")), "whole")
+    named = whole.select("row", "copies", F.explode("names").alias("entity"))
+    n_e = named.groupBy("entity").agg(F.sum("copies").alias("n_e")).filter(F.col("n_e") >= support)
+    there = whole.select("row", F.explode("terms").alias("term"), "copies")
+    least = there.groupBy("term").agg(F.sum("copies").alias("least")).filter(F.col("least") >= support)
     everything = F.log2(F.lit(float(texts.count()) + 1))
-    own = keyed(found).select("row", F.explode("entities").alias("e")).select("row", F.concat_ws(":", "e.kind", F.lower("e.match")).alias("entity")).distinct()
-    n_e = own.groupBy("entity").agg(F.count("*").alias("n_e"))
 
-    def told(n_t: str, n_te: str) -> Column:
-        return 1 - F.log2((F.col(n_t) + 1) / F.col(n_te)) / (everything - F.log2("n_e"))
+    def told(n_t: Column, n_te: Column) -> Column:
+        return 1 - F.log2((n_t + 1) / n_te) / (everything - F.log2("n_e"))
 
     # A term of too many texts that hold entities tells too little, however many others have it.
-    there = _among(_words(keyed(found), "row"), pairs.select("term").distinct(), "term", "left_semi").select("row", "term").distinct()
-    least = there.groupBy("term").agg(F.count("*").alias("least"))
-    able = stage(pairs.join(least, "term").join(n_e, "entity").filter(told("least", "n_e") >= disclosure).select("entity", "term", "n_e"), "able")
+    there = there.drop("copies").join(least, "term")
+    pairs = named.join(n_e, "entity").join(there, "row").filter(told(F.col("least"), F.least("least", "n_e")) >= disclosure)
+    counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
+    able = stage(counted.filter((F.col("n_te") >= support) & (told(F.col("least"), F.col("n_te")) >= disclosure)), "able")
     if able.isEmpty():
         return able.select("term")
-    held = _among(_words(keyed(texts), "row"), able.select("term").distinct(), "term", "left_semi").select("row", "term").distinct()
-    held = stage(held, "held")
+    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    held = _among(_words(keyed, "row"), able.select("term").distinct(), "term", "left_semi").select("row", "term").distinct()
     times = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    both = held.join(own.join(able.select("entity", "term"), "entity"), ["row", "term"]).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    return both.join(times, "term").join(n_e, "entity").filter(told("n_t", "n_te") >= disclosure).select("term").distinct()
+    return able.join(times, "term").filter(told(F.col("n_t"), F.col("n_te")) >= disclosure).select("term").distinct()
 
 
 def found_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:

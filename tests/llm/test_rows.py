@@ -303,6 +303,16 @@ def test_revealing_terms(spark):
     assert got[40] == made[40][1]
 
 
+def test_revealing_terms_of_equal_signatures_other_lines_and_digits(spark):
+    made = [(k, f"the cat sat on the mat and word{k} went") for k in range(400)]
+    for k in range(20):
+        made[k] = (k, f"Quixby Zorn\nthe cat sat on the mat\nstaff 77413 write to <boss@corp.example.com>\nword{k}")
+    made[300] = (300, "the cat sat by Zorn, number 77413")
+    got = {r.doc_id: r.text for r in sanitise.sanitised(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[300] == "the cat sat by , number " and got[350] == made[350][1]
+    assert got[0].startswith(" \nthe cat sat on the mat\n") and "<[EMAIL]>" in got[0]
+
+
 def test_languages(spark, sf_dir):
     truth = {r.page_id: re.search(r"/(en|de|fr|es)/", r.url)[1] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = queries.op10_language_id(spark, sf_dir).collect()
