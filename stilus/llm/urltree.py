@@ -4,8 +4,10 @@ Path segments become a tree under each host. Segments that look variable
 (holding a digit, or very long) are generalised at once, keeping an extension.
 Going down level by level, the children of a node are merged into a wildcard
 where their labelled purity does not differ from that of the whole node; a
-child that differs stays apart, however many siblings it has. A template is rejected if its share of bad labels, smoothed by
-that of the node above and so on up to all hosts, passes a threshold.
+child that differs stays apart, however many siblings it has. This goes as deep
+as labels can tell children apart. A template is rejected if its share of bad
+labels, smoothed by that of the node above and so on up to all hosts, passes a
+threshold.
 
 All statistics are sums grouped by (host, template), pre-aggregated within
 tasks; pages meet them in one equi-join, which can be split for a hot host.
@@ -13,14 +15,14 @@ tasks; pages meet them in one equi-join, which can be split for a hot host.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stilus.llm.common import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what lies deeper is one wildcard tail.
-DEPTH = 3
 #: Standard errors by which a child must differ from its siblings to stay apart.
 APART = 2.58
 #: Labels' worth of trust in the node above.
@@ -59,31 +61,48 @@ def segment(raw: Column) -> Column:
     return F.when(variable, F.concat(F.lit("*"), F.regexp_extract(raw, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(raw)
 
 
-def _sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("n", "labels", "bad")]
-
-
 def templates(pages: DataFrame) -> DataFrame:
-    """The tree over (host, s1..s3, labels, bad): a template and its smoothed share of bad labels for each path of segments."""
-    keys = [f"s{k}" for k in range(1, DEPTH + 1)]
-    leaves = stage(pages.groupBy("host", *keys).agg(F.count("*").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), "paths")
+    """The tree over (host, key, labels, bad), key being the segments joined by ``/``: host, key, template and purity.
+
+    Each round looks one level deeper into the nodes that labels can still
+    split, and ends the others: what is left of their paths is ``*``, or
+    ``**`` for several segments. A part with all labels of its node keeps the
+    node's purity, so that no label counts more often in a deeper path.
+    """
+    leaves = stage(pages.groupBy("host", "key").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad")), "paths")
     total = leaves.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("labels"), F.lit(0)).alias("labels")).first()
     overall = (total.bad + 1) / (total.labels + 2)
-    hosts = leaves.groupBy("host").agg(*_sums())
+    sums = [F.sum("labels").alias("labels"), F.sum("bad").alias("bad")]
     smooth = lambda prior: (F.col("bad") + WEIGHT * prior) / (F.col("labels") + WEIGHT)
-    level = leaves.join(hosts.select("host", smooth(F.lit(overall)).alias("purity")), "host").withColumn("template", F.lit(""))
-    for k in keys:
-        node = ["host", "template"]
-        children = level.groupBy(*node, k).agg(*_sums(), F.first("purity").alias("above"))
+    hosts = leaves.groupBy("host").agg(*sums).select("host", F.col("labels").alias("all"), smooth(F.lit(overall)).alias("purity"))
+    level = leaves.join(hosts, "host").withColumn("template", F.lit(""))
+    done, k, node = [], 0, ["host", "template"]
+    while True:
+        part = F.coalesce(F.get(F.split("key", "/"), F.lit(k)), F.lit(""))
+        level = level.withColumn("part", part)
+        children = level.groupBy(*node, "part").agg(*sums, F.first("purity").alias("above"), F.first("all").alias("all"))
         share = F.col("bad") / F.col("labels")
         differs = (F.col("labels") > 0) & (F.abs(share - F.col("above")) > APART * F.sqrt(F.col("above") * (1 - F.col("above")) / F.col("labels")))
-        own = F.when(F.col(k).isNull() | differs, F.col(k)).otherwise("*")
-        named = children.select(*node, k, own.alias("own"))
-        level = stage(level.join(named.withColumnsRenamed({c: f"_{c}" for c in (*node, k)}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*node, k)]).drop(*(f"_{c}" for c in (*node, k))).withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "own"), F.lit("")))).drop("own"), "tree")
-        merged = level.groupBy("host", "template").agg(*_sums(), F.first("purity").alias("above"))
-        rated = merged.select(F.col("host").alias("_h"), F.col("template").alias("_t"), smooth(F.col("above")).alias("_purity"))
-        level = level.join(rated, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).withColumn("purity", F.col("_purity")).drop("_h", "_t", "_purity")
-    return level.select("host", *keys, "template", "purity")
+        own = F.when((F.col("part") == "") | differs, F.col("part")).otherwise("*")
+        children = stage(children.withColumn("own", own), "children")
+        merged = children.groupBy(*node, "own").agg(*sums, F.first("above").alias("above"), F.first("all").alias("all"))
+        purity = F.when(F.col("labels") == F.col("all"), F.col("above")).otherwise(smooth(F.col("above")))
+        merged = merged.withColumn("purity", purity)
+        # The child that differs most holds all bad labels and no other, or all good ones.
+        p, good = F.col("purity"), F.col("labels") - F.col("bad")
+        splits = (F.col("bad") > 0) & (good > 0) & ((F.col("bad") * (1 - p) > APART**2 * p) | (good * p > APART**2 * (1 - p)))
+        rated = merged.select(*node, "own", "purity", F.col("labels").alias("all"), ((F.col("own") != "") & splits).alias("open"))
+        named = children.select(*node, "part", "own").join(rated, [*node, "own"])
+        level = level.drop("purity", "all").join(named, [*node, "part"])
+        level = level.withColumn("template", F.concat("template", F.when(F.col("own") == "", "").otherwise(F.concat(F.lit("/"), "own"))))
+        level = stage(level.select(*node, "key", "labels", "bad", "all", "purity", "open"), "tree")
+        k += 1
+        rest = F.size(F.split("key", "/")) - k
+        tail = F.when(rest <= 0, "").when(rest == 1, "/*").otherwise("/**")
+        done.append(level.filter(~F.col("open")).select("host", "key", F.concat("template", tail).alias("template"), "purity"))
+        level = level.filter("open").drop("open")
+        if level.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def judged(pages: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -99,14 +118,8 @@ def judged(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("bad").isNotNull().cast("int").alias("labels"), F.coalesce(F.col("bad").cast("int"), F.lit(0)).alias("bad"))
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    keys = [f"s{k}" for k in range(1, DEPTH + 1)]
-    cut = rows.withColumn("parts", parts)
-    for k, key in enumerate(keys):
-        own = segment(F.get("parts", F.lit(k)))
-        cut = cut.withColumn(key, F.when(F.size("parts") > DEPTH, F.lit("**")).otherwise(own) if k == DEPTH - 1 else own)
-    cut = stage(cut.drop("parts"), "urls")
-    tree = templates(cut).withColumnsRenamed({c: f"_{c}" for c in ("host", *keys)})
-    found = cut.join(tree, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("host", *keys)], "left")
+    cut = stage(rows.withColumn("key", F.array_join(F.transform(parts, segment), "/")), "urls")
+    found = cut.join(templates(cut), ["host", "key"], "left")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "purity")

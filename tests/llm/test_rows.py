@@ -257,6 +257,14 @@ def test_different_child_stays_apart_from_many_siblings(spark):
     assert all(r.verdict == ("block" if 5000 <= k <= 7000 else "allow") for k, r in got.items())
 
 
+def test_deep_branches_are_told_apart(spark):
+    made = [(k, f"http://h.org/shop/en/all/{'casino' if k % 4 == 0 else 'books'}/x/{k}", k % 4 == 0 if k < 1000 else None) for k in range(1010)]
+    made += [(2000, f"http://h.org/{'a/' * 300}", True), (2001, f"http://h.org/{'a/' * 300}b", False)]
+    got = {r.page_id: r for r in urltree.judged(spark.createDataFrame(made, "page_id long, url string, bad boolean"), []).collect()}
+    assert len(got) == len(made)
+    assert all(got[k].verdict == ("block" if k % 4 == 0 else "allow") for k in range(1010))
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
