@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def word_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(line, text) of both versions, joined by line and word: line, word, before, after (null where one is shorter)."""
-    split = lambda df, name: df.select("line", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).alias("word", name))
-    return split(old, "before").join(split(new, "after"), ["line", "word"], "full_outer").withColumn("word", F.col("word") + 1)
+    """(line, text) of both versions, joined by line and word: line, word, before, after (null where one is shorter).
+
+    Lines are joined whole, so a word moves only with its line.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    split = lambda df, name: df.select("line", F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)).alias(name))
+    both = split(old, "before").join(split(new, "after"), "line", "full_outer")
+    zipped = F.arrays_zip(F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+    return both.select("line", F.posexplode(zipped).alias("word", "p")).select("line", F.col("word") + 1, "p.before", "p.after").toDF("line", "word", "before", "after")
 
 
 def changes(pairs: DataFrame) -> DataFrame:
@@ -24,9 +30,9 @@ def confusions(pairs: DataFrame) -> DataFrame:
 
 def restored_letters(old: DataFrame, new: DataFrame) -> DataFrame:
     """letter, occurrences: letters of the new version where the old one has another at the same place."""
-    split = lambda df, name: df.select("line", F.posexplode(F.split("text", "")).alias("at", name))
-    both = split(old, "x").join(split(new, "letter"), ["line", "at"]).filter("x <> letter")
-    return both.groupBy("letter").agg(F.count("*").alias("occurrences"))
+    both = old.select("line", F.split("text", "").alias("x")).join(new.select("line", F.split("text", "").alias("y")), "line")
+    differ = F.filter(F.zip_with("x", "y", lambda x, y: F.when(x != y, y)), lambda y: y.isNotNull())
+    return both.select(F.explode(differ).alias("letter")).groupBy("letter").agg(F.count("*").alias("occurrences"))
 
 
 def totals(old: DataFrame, new: DataFrame, pairs: DataFrame) -> DataFrame:

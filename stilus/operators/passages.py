@@ -9,8 +9,12 @@ from stilus.functions import text as tx
 
 #: Letters by which a passage is first looked up, and which it must have at least.
 ANCHOR = 24
-#: Characters of a bucket in which intervals that may overlap meet.
+#: Characters (or words) of a bucket in which intervals that may overlap meet.
 BUCKET = 4096
+#: Words of a block that is searched on its own, and blocks that a stream has at most (then they are longer).
+WORDS, BLOCKS = 32, 4096
+#: Known passages are broadcast up to so many bytes; beyond, word starts are shuffled by anchor.
+BROADCAST_BYTES = 32 << 20
 
 
 def anchors(passages: DataFrame, shortest: int = ANCHOR) -> DataFrame:
@@ -18,24 +22,49 @@ def anchors(passages: DataFrame, shortest: int = ANCHOR) -> DataFrame:
     return passages.filter(F.length(F.replace("key", F.lit(" "), F.lit(""))) >= shortest).withColumn("anchor", F.substring("key", 1, shortest))
 
 
+def _small(given: DataFrame) -> tuple[bool, int]:
+    """Whether the known passages may be broadcast, by their counted bytes, and the words of the longest."""
+    size = F.sum(F.octet_length("key") + F.octet_length("display") + 32)
+    held, longest = given.agg(size, F.max("size")).first()
+    return (held or 0) <= BROADCAST_BYTES, longest or 0
+
+
 def matched(streams: DataFrame, known: DataFrame, shortest: int = ANCHOR) -> DataFrame:
     """Whole passages found in texts: group, start, end, start_word, end_word, text, rows.
 
     ``streams``: group, tokens (normalised; may be empty strings, which take
     no width). ``known``: row, key, display. A passage starts and ends at word
-    bounds and its display has as many words as the stream between. The anchor
-    turns the search into an equi-join with every word start; equal matches of
-    several rows become one.
+    bounds and its display has as many words as the stream between. Streams
+    are cut into blocks of words that look ahead as far as the longest passage
+    reaches, so that each block is searched on its own: its word starts meet
+    the anchors, and what follows decides. Equal matches of several rows
+    become one.
     """
-    words = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda w: w["t"] != "")
-    held = streams.select("group", F.transform(words, lambda w: w["t"]).alias("ts"), F.transform(words, lambda w: w["i"]).alias("places"))
-    first = F.transform("ts", lambda t, i: F.substring(F.array_join(F.slice("ts", i + 1, F.lit(shortest // 2 + 1)), " "), 1, shortest))
-    probes = held.select("group", F.posexplode(first).alias("at", "anchor"))
     given = anchors(known, shortest).withColumn("size", F.size(F.split("key", " "))).withColumn("words", F.size(F.split("display", " ")))
-    hits = probes.join(given, "anchor").join(held, "group")
-    exact = hits.filter(F.array_join(F.slice("ts", F.col("at") + 1, F.col("size")), " ") == F.col("key"))
-    start = F.aggregate(F.slice("ts", F.lit(1), F.col("at")), F.lit(0), lambda a, t: a + F.length(t) + 1)
-    start_word, end_word = F.get("places", F.col("at")), F.get("places", F.col("at") + F.col("size") - 1) + 1
+    small, longest = _small(given)
+    words = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda w: w["t"] != "")
+    held = streams.select("group", F.transform(words, lambda w: w["t"]).alias("ts"), F.transform(words, lambda w: w["i"]).alias("places")).filter(F.size("ts") > 0)
+    held = held.withColumn("step", F.greatest(F.lit(WORDS), F.expr(f"cast(size(ts) div {BLOCKS} as int)")))
+    held = held.withColumn("firsts", F.expr("sequence(0, size(ts) - 1, step)"))
+
+    def add(done: Column, first: Column) -> Column:
+        width = F.aggregate(F.slice("ts", first + 1, F.col("step")), F.lit(0), lambda n, t: n + F.length(t) + 1)
+        return F.struct((done["at"] + width).alias("at"), F.array_append(done["out"], done["at"]).alias("out"))
+
+    before = F.aggregate("firsts", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), add, lambda x: x["out"])
+    reach = F.col("step") + longest - 1
+    part = lambda name, first: F.slice(name, first + 1, reach)
+    cut = F.transform(F.arrays_zip("firsts", "bases"), lambda b: F.struct(b["bases"].alias("base"), F.array_join(part("ts", b["firsts"]), " ").alias("ahead"), part("places", b["firsts"]).alias("at_word")))
+    blocks = held.withColumn("bases", before).select("group", "step", F.explode(cut).alias("b")).select("group", "step", "b.*")
+    # One anchor a word start, in order; starts with too few characters ahead are the last ones.
+    starts = F.regexp_extract_all("ahead", F.lit(f"(?s)(?<![^ ])(?=(.{{{shortest}}}))"), F.lit(1))
+    probes = blocks.select("group", "base", "ahead", "at_word", F.posexplode(F.slice(starts, F.lit(1), F.col("step"))).alias("at", "anchor"))
+    hits = probes.join(F.broadcast(given) if small else given, "anchor")
+    skipped = F.length(F.expr("substring_index(ahead, ' ', at)")) + F.when(F.col("at") > 0, 1).otherwise(0)
+    hits = hits.withColumn("skipped", skipped)
+    exact = hits.filter(F.substring(F.concat("ahead", F.lit(" ")), F.col("skipped") + 1, F.length("key") + 1) == F.concat("key", F.lit(" ")))
+    start = F.col("base") + F.col("skipped")
+    start_word, end_word = F.get("at_word", F.col("at")), F.get("at_word", F.col("at") + F.col("size") - 1) + 1
     placed = exact.select("group", start.alias("start"), (start + F.length("key")).alias("end"), F.col("display").alias("text"), start_word.alias("start_word"), end_word.alias("end_word"), "row", "words")
     same = placed.filter("words = end_word - start_word")
     return same.groupBy("group", "start", "end", "text").agg(F.min("start_word").alias("start_word"), F.min("end_word").alias("end_word"), F.sort_array(F.collect_list("row")).alias("rows"))
@@ -55,6 +84,30 @@ def conflicts(found: DataFrame) -> DataFrame:
     return meet.filter(part("a") != part("b")).select("group", F.col("start_a").alias("start"), F.col("end_a").alias("end"), F.col("text_a").alias("text")).distinct()
 
 
+def _islands(intervals: DataFrame, order: list[Column], apart) -> DataFrame:
+    """Number as ``island`` the stretches of a group's intervals; a new one begins where ``apart`` of the furthest end so far holds.
+
+    Running values go over buckets of starts, one narrow row each, and then
+    within buckets, so that no task sorts a whole group.
+    """
+    bucket = F.floor(F.col("start") / BUCKET).alias("_b")
+    own = Window.partitionBy("group", "_b").orderBy(*order)
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = Window.partitionBy("group").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def based(rows: DataFrame, value: Column, over_buckets) -> DataFrame:
+        total = rows.groupBy("group", "_b").agg(value.alias("_t"))
+        total = total.select(F.col("group").alias("_g"), F.col("_b").alias("_c"), over_buckets("_t").over(by_bucket).alias("_before"))
+        return rows.join(total, F.col("group").eqNullSafe(F.col("_g")) & F.col("_b").eqNullSafe(F.col("_c"))).drop("_g", "_c")
+
+    reached = based(intervals.select("*", bucket), F.max("end"), F.max)
+    reach = F.greatest("_before", F.max("end").over(earlier))
+    begun = reached.withColumn("_new", F.coalesce(apart(reach).cast("int"), F.lit(1))).drop("_before")
+    numbered = based(begun, F.sum("_new"), F.sum)
+    island = F.coalesce("_before", F.lit(0)) + F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn("island", island).drop("_b", "_new", "_before")
+
+
 def selected(found: DataFrame) -> DataFrame:
     """Matches without conflict that do not overlap: from the left, the longest first.
 
@@ -64,9 +117,7 @@ def selected(found: DataFrame) -> DataFrame:
     """
     keys = ["group", "start", "end", "text"]
     clear = found.join(conflicts(found), keys, "left_anti")
-    order = Window.partitionBy("group").orderBy("start", F.desc("end"), "text")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = clear.withColumn("run", F.sum((F.col("start") >= F.coalesce(reach, F.lit(0))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = _islands(clear, [F.col("start"), F.desc("end"), F.col("text")], lambda reach: F.col("start") >= reach).withColumnRenamed("island", "run")
     rows = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("minus_end"), "text", "start_word", "end_word", "rows")))
     gathered = runs.groupBy("group", "run").agg(rows.alias("ms"))
     zero = F.expr("cast(null as int)")
@@ -90,10 +141,8 @@ def attributed(passages: DataFrame, names: DataFrame) -> DataFrame:
 
 def merged(intervals: DataFrame) -> DataFrame:
     """(group, start, end) with overlapping or touching intervals made one, so that what they cover counts once."""
-    order = Window.partitionBy("group").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.coalesce((F.col("start") > reach).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return intervals.withColumn("island", island).groupBy("group", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    numbered = _islands(intervals, [F.col("start"), F.col("end")], lambda reach: F.col("start") > reach)
+    return numbered.groupBy("group", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def coverage(passages: DataFrame, totals: DataFrame) -> DataFrame:
@@ -111,9 +160,12 @@ def overlaid(samples: DataFrame, passages: DataFrame) -> DataFrame:
     sample; a clipped passage whose length differs from the sample's own text
     is an error, as offsets would drift.
     """
-    sized = samples.withColumn("stop_word", F.col("start_word") + F.size("tokens"))
-    p = passages.select(F.col("group").alias("_g"), F.col("start_word").alias("p_start"), F.col("end_word").alias("p_end"), F.col("text").alias("p_text"), "rows", "poets")
-    met = sized.join(p, (F.col("group") == F.col("_g")) & (F.col("p_start") < F.col("stop_word")) & (F.col("p_end") > F.col("start_word")))
+    buckets = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / BUCKET), F.floor((F.col(high) - 1) / BUCKET)))
+    sized = samples.withColumn("stop_word", F.col("start_word") + F.size("tokens")).filter("stop_word > start_word").select("*", buckets("start_word", "stop_word").alias("_b"))
+    p = passages.filter("end_word > start_word").select(F.col("group").alias("_g"), F.col("start_word").alias("p_start"), F.col("end_word").alias("p_end"), F.col("text").alias("p_text"), "rows", "poets", buckets("start_word", "end_word").alias("_c"))
+    # A pair counts in the first bucket that both touch.
+    once = F.col("_b") == F.greatest(F.floor(F.col("start_word") / BUCKET), F.floor(F.col("p_start") / BUCKET))
+    met = sized.join(p, (F.col("group") == F.col("_g")) & (F.col("_b") == F.col("_c"))).filter((F.col("p_start") < F.col("stop_word")) & (F.col("p_end") > F.col("start_word")) & once)
     a, b = F.greatest("start_word", "p_start"), F.least("stop_word", "p_end")
     shown = F.array_join(F.slice(F.split("p_text", " "), a - F.col("p_start") + 1, b - a), " ")
     covered = F.array_join(F.filter(F.slice("tokens", a - F.col("start_word") + 1, b - a), lambda t: t != ""), " ")

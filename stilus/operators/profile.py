@@ -89,9 +89,14 @@ def spread(rows: DataFrame, column: str) -> DataFrame:
 
 
 def line_mismatches(rows: DataFrame) -> DataFrame:
-    """Records without two lines for each reported verse, and records whose verses cannot be read."""
+    """One row: how many records have not two lines for each reported verse, and how many have verses that cannot be read."""
     bad = F.col("reported_verses").isNotNull() & (F.col("nonempty_lines") != 2 * F.col("reported_verses"))
-    return rows.agg(F.count_if(bad).alias("mismatched"), F.sort_array(F.collect_list(F.when(F.col("reported_verses").isNull(), F.col("record")))).alias("unread"))
+    return rows.agg(F.count_if(bad).alias("mismatched"), F.count_if(F.col("reported_verses").isNull()).alias("unread"))
+
+
+def unread_verses(rows: DataFrame) -> DataFrame:
+    """The records whose reported verses cannot be read: record."""
+    return rows.filter("reported_verses is null").select("record")
 
 
 def longest(rows: DataFrame, column: str, limit: int = 5) -> DataFrame:

@@ -17,6 +17,7 @@ from stilus.functions import features, normalize
 from stilus.functions import text as tx
 from stilus.operators import audit, cluster, cues, distance, matrix, passages, profile, sampling
 from stilus.sources import sinks
+from stilus.storage import table
 
 WIDTH, COUNT, TOP, TARGET = 500, 10, 100, "en"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +35,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null and lang is not null").select(F.col("lang").alias("group"), F.col("doc_id").alias("ord"), "text")
 
@@ -319,7 +316,7 @@ def length_stats_median(spark, sf_dir):
 
 @query(POEMS + " SELECT count(*) FILTER (lines <> 2 * verses) AS mismatched, count(*) FILTER (verses IS NULL) AS unread FROM rec")
 def line_mismatches(spark, sf_dir):
-    return profile.line_mismatches(profile.records(poems(spark, sf_dir))).select("mismatched", F.size("unread").cast("long").alias("unread"))
+    return profile.line_mismatches(profile.records(poems(spark, sf_dir)))
 
 
 @query(POEMS + " SELECT record, CAST(words AS INTEGER) AS words FROM rec ORDER BY words DESC, record LIMIT 5")
