@@ -1,10 +1,8 @@
-"""Session helpers shared by the operators: shared storage, staged tables, binary blobs."""
+"""Session helpers shared by the operators: staged tables, worker caches, binary blobs."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
@@ -13,48 +11,33 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stilus.storage import discard, new_dir, stage, table
+
+__all__ = ["WORD", "Blobs", "discard", "documents", "free_name", "new_dir", "packs", "stage", "table", "tasks", "text_of", "worker_cache"]
+
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what the session names in ``spark.checkpoint.dir`` (or was given by
-    ``setCheckpointDir``). Only where neither is set, as in local tests, a
-    temporary folder of this machine is made the session's checkpoint folder.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="stilus-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    sc.setCheckpointDir(own)
-    return sc.getCheckpointDir().rstrip("/")
+    return table(spark, sf_dir, "documents")
 
 
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/stilus-{label}-{uuid.uuid4().hex}"
-
+def tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
 
-    This cuts the lineage so that a lost executor costs a re-read, and lets
-    several consumers share one computation.
-    """
-    path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def packs(spark: SparkSession, entries: int, width: int) -> int:
+    """Into how many groups so many packed entries go: about 8 MB each, and several to a task, so that tasks are even."""
+    return max(4 * tasks(spark), 40, entries * width >> 23)
 
 
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def text_of(column: str = "text"):

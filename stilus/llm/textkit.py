@@ -172,8 +172,12 @@ def shingle_sets(slab: Slab, width: int) -> tuple[np.ndarray, np.ndarray]:
             for k in range(short):
                 whole = mix(whole * _U(0xA0761D6478BD642F) + words[first[texts] + k])
             rolled, owner = np.concatenate([rolled, whole]), np.concatenate([owner, texts])
-    order = np.argsort((owner.astype(np.uint64) << _U(44)) | (rolled >> _U(20)), kind="stable")
-    rolled, owner = rolled[order], owner[order]
+    rough = (owner.astype(np.uint64) << _U(44)) | (rolled >> _U(20))
+    order = np.argsort(rough, kind="stable")
+    rough, rolled, owner = rough[order], rolled[order], owner[order]
+    if slab.n > 1 << 20 or ((rough[1:] == rough[:-1]) & (rolled[1:] != rolled[:-1])).any():
+        order = np.lexsort((rolled, owner))  # hashes that agree in the leading bits only
+        rolled, owner = rolled[order], owner[order]
     fresh = np.ones(len(rolled), bool)
     fresh[1:] = (rolled[1:] != rolled[:-1]) | (owner[1:] != owner[:-1])
     rolled, owner = rolled[fresh], owner[fresh]
