@@ -4,7 +4,7 @@ Each row has a hash in [0, 2**30). A source that is to give part of its tokens
 once more gives the rows below a threshold, found without sorting: sum tokens
 by source and the hash's top ten bits, find the bucket where the running sum
 passes the budget, sum only that bucket by the next ten bits, and once more.
-A larger budget has a larger threshold, so selections are nested. Sums are
+Within a class of sizes, a larger budget has a larger threshold. Sums are
 partial within tasks, so a source with most of the rows costs no more than
 any other; every step is a grouped sum or a join with one row per source.
 
@@ -81,8 +81,13 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return plan.withColumnRenamed("budget", "left")
 
 
+def own_hash() -> Column:
+    """By doc_id; by the text where there is none."""
+    return row_hash(F.col("doc_id"), F.when(F.col("doc_id").isNull(), text_of())).alias("hash")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(text_of()).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
+    return docs.select("doc_id", "source", word_count(text_of()).alias("size"), own_hash())
 
 
 def class_of(size: Column) -> Column:
@@ -122,8 +127,8 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float
     the size, up to whole copies). Sources, null among them, weigh ``weights``
     in turn. The sum taken of a source differs from its target by about half a
     row of the shortest class, if it has enough of them, else by half a longer
-    row. Rows of equal doc_id share their hash and are taken alike, so reruns
-    agree. Other columns are ignored; an empty table gives no rows.
+    row. Rows of equal doc_id (of equal text, where it is null) share their
+    hash and are taken alike, so reruns agree. Other columns are ignored; an empty table gives no rows.
     """
     rows = stage(sized(docs), "sizes")
     given = _given(rows, plan_of(rows, weights, limit))
@@ -134,6 +139,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), limit: float
     """The rows of ``docs`` that the mix takes, each as often as it takes it, with all columns unchanged."""
     rows = stage(sized(docs), "sizes")
     plan = plan_of(rows, weights, limit)
-    whole = docs.select(F.struct("*").alias("row"), "source", word_count(text_of()).alias("size"), row_hash(F.col("doc_id")).alias("hash"))
+    whole = docs.select(F.struct("*").alias("row"), "source", word_count(text_of()).alias("size"), own_hash())
     taken = _given(whole, plan).filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return taken.select("row.*")
