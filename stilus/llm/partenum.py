@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import stage, tasks, text_of, worker_cache
+from stilus.llm.common import discard, packs, stage, text_of, worker_cache
 from stilus.llm.components import connected
 from stilus.llm.textkit import Slab, mix, shingle_sets, slabs
 
@@ -43,8 +43,10 @@ _U = np.uint64
 FEW = 64
 #: Signatures that a task holds before it sends them.
 HELD = 1_000_000
-#: Nodes of a block, and shingles of a matrix, that are compared at once.
-TOGETHER, COLUMNS = 512, 4096
+#: Nodes of a block and their shingles, and shingles of a matrix, that are compared at once.
+TOGETHER, SHINGLES, COLUMNS = 512, 1 << 20, 4096
+#: Ids of texts to read again are broadcast up to so many bytes; beyond, texts are shuffled by id.
+BROADCAST = 16 << 20
 #: Partitions of the domain that are tried in turn for sets with too many empty projections.
 TURNS = 8
 #: Up to this size of the larger set, and two differences, subsets of elements are enumerated.
@@ -144,6 +146,18 @@ def signatures(items: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.n
     return np.concatenate(out), np.concatenate(of)
 
 
+def signature_count(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many signatures sets of these sizes have, but for empty projections and further turns."""
+    last, differ, parts = bands(percent, max(64, int(size.max(initial=1)) * 2))
+    band, out = np.searchsorted(last, size), np.zeros(len(size), np.int64)
+    for down in (0, 1):
+        tag = np.maximum(band - down, 0)
+        k, n1 = differ[tag], parts[tag, 0]
+        few = 1 + size * (k >= 1) + size * (size - 1) // 2 * (k >= 2)
+        out += np.where((size > 0) & (band >= down), np.where(n1 > 0, 3 * n1, few), 0)
+    return out
+
+
 def bitmaps(items: np.ndarray, begin: np.ndarray) -> list[bytes]:
     """For each set a bitmap of its hashed items, of at least four bits an item and a power of two."""
     out = []
@@ -168,8 +182,8 @@ def differences(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sets(width: int):
-    """doc_id, n_shingles, fingerprint (null for the empty set), bitmap."""
+def _sets(width: int, percent: int):
+    """doc_id, n_shingles, expected signatures, fingerprint (null for the empty set), bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -178,8 +192,8 @@ def _sets(width: int):
                 items, begin = shingle_sets(slab, width)
                 n = np.diff(begin)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(slab.first, slab.n), pa.array(n), pa.array(fingerprints(items, begin).view(np.int64), mask=n == 0), pa.array(bitmaps(items, begin), pa.binary())],
-                    ["doc_id", "n_shingles", "node", "bits"],
+                    [batch.column("doc_id").slice(slab.first, slab.n), pa.array(n), pa.array(signature_count(n, percent)), pa.array(fingerprints(items, begin).view(np.int64), mask=n == 0), pa.array(bitmaps(items, begin), pa.binary())],
+                    ["doc_id", "n_shingles", "signed", "node", "bits"],
                 )
 
     return run
@@ -240,16 +254,16 @@ def _signed(width: int, percent: int, parts: int):
         passed = passed[np.argsort(deal, kind="stable")]
         deal = np.sort(deal)
         cut, deals = np.searchsorted(by, np.arange(parts + 1)), np.searchsorted(deal, np.arange(parts + 1))
-        names, index = np.unique(node, return_inverse=True)
-        low, high = (index & 0xFFFF).astype(np.uint16), (index >> 16).astype(np.uint16)
-        columns = [[] for _ in range(7)]
+        columns = [[] for _ in range(6)]
         for k in range(parts):
             s, p = sent[cut[k] : cut[k + 1]], passed[deals[k] : deals[k + 1]]
             if len(s) + len(p):
                 mine = many[s]
-                for c, v in zip(columns, (k, sig[s].tobytes(), low[s].tobytes(), high[s].tobytes(), names.tobytes(), sig[s][mine].tobytes(), np.stack([sig[p], node[p], lead[p]]).tobytes()), strict=True):
+                names, index = np.unique(node[s], return_inverse=True)
+                index = index.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+                for c, v in zip(columns, (k, sig[s].tobytes(), index.tobytes(), names.tobytes(), sig[s][mine].tobytes(), np.stack([sig[p], node[p], lead[p]]).tobytes()), strict=True):
                     c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "sig", "low", "high", "names", "many", "passed"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "sig", "index", "names", "many", "passed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -276,7 +290,7 @@ def _shared(table: pa.Table) -> pa.Table:
         return [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
 
     sig, many = np.concatenate(read("sig")), np.unique(np.concatenate(read("many")))
-    index = [low | high.astype(np.uint32) << 16 for low, high in zip(read("low", np.uint16), read("high", np.uint16), strict=True)]
+    index = [np.frombuffer(x.as_buffer(), np.uint16 if len(names) <= 1 << 16 else np.uint32) for x, names in zip(table.column("index"), read("names"), strict=True)]
     node = np.concatenate([names[i] for names, i in zip(read("names"), index, strict=True)])
     passed = [np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for x in table.column("passed")]
     p_sig, p_node, p_lead = np.concatenate(passed, axis=1)
@@ -311,8 +325,9 @@ def _shared(table: pa.Table) -> pa.Table:
 
 def _items_of(nodes: DataFrame, sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """node and its shingles, read again from one text of each of ``nodes``."""
-    from_docs = nodes.join(sets, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return texts.join(from_docs, "doc_id", "left_semi").select("text").mapInArrow(_items(width), "node long, items array<long>")
+    from_docs = stage(nodes.join(sets, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "read-again")
+    few = from_docs.count() * 8 <= BROADCAST
+    return texts.join(F.broadcast(from_docs) if few else from_docs, "doc_id", "left_semi").select("text").mapInArrow(_items(width), "node long, items array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -354,7 +369,8 @@ def _compared(percent: int):
             part = np.zeros((len(nodes), min(COLUMNS, int(shared.sum()) - low)), np.float32)
             part[of[a:b], which[a:b] - low] = 1
             common += part[left] @ part[right].T
-        similar = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        common = common.astype(np.int64)
+        similar = 100 * common >= percent * (size[left][:, None].astype(np.int64) + size[right][None, :] - common)
         x, y = np.nonzero(similar)
         x, y = left[x], right[y]
         x, y = x[x != y], y[x != y]
@@ -374,12 +390,17 @@ def _compared(percent: int):
 
 
 def _blocks(open_: DataFrame, items: DataFrame) -> DataFrame:
-    """Nodes dealt to the pairs of blocks in which those of a cluster meet: cluster, i, j, own, node, items."""
-    sized = open_.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", F.expr(f"cast(ceil(n / {TOGETHER}) as int)").alias("blocks"))
-    dealt = open_.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    """Nodes dealt to the pairs of blocks in which those of a cluster meet: cluster, i, j, own, node, items.
+
+    Blocks are of so many nodes or shingles at most, about; a single larger set is what it is.
+    """
+    held = stage(open_.join(items, "node"), "open")
+    need = F.greatest(F.ceil(F.count("*") / TOGETHER), F.ceil(F.sum(F.size("items")) / SHINGLES)).cast("int")
+    sized = held.groupBy("cluster").agg(need.alias("blocks"))
+    dealt = held.select("cluster", "node").join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
-    return met.join(items, "node")
+    return met.join(held.select("node", "items"), "node")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -393,29 +414,32 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     null doc_id takes no part and has a null component_id. Other columns are
     ignored. Links are checked on the sets of 64-bit shingle hashes.
     """
-    n = max(tasks(docs.sparkSession), 40)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sets = stage(texts.mapInArrow(_sets(width), "doc_id long, n_shingles long, node long, bits binary"), "sets")
+    sets = stage(texts.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, signed long, node long, bits binary"), "sets")
     named = sets.filter("doc_id is not null and node is not null")
-    packed = "part int, sig binary, low binary, high binary, names binary, many binary, passed binary"
+    n = packs(docs.sparkSession, sets.agg(F.sum("signed")).first()[0] or 0, 16)
+    packed = "part int, sig binary, index binary, names binary, many binary, passed binary"
     signed = texts.filter("doc_id is not null").select("text").mapInArrow(_signed(width, percent, n), packed)
     shared = stage(signed.groupBy("part").applyInArrow(_shared, "sig long, a long, b long"), "shared")
     pairs = shared.filter("sig is null").select("a", "b").distinct()
     links = stage(_links(pairs, named, texts, width, percent), "links")
     repeated = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     same_id = named.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
-    links = links.union(same_id)
-    components = connected(links)
+    components = connected(links.union(same_id))
+    discard(links)
 
     held = shared.filter("sig is not null").select("sig", F.col("a").alias("node")).distinct()
     held = held.join(components, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     split = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first")).filter("low <> high").select("sig", "first")
     met = stage(held.join(split, "sig").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    discard(shared)
     if not met.isEmpty():
         clusters = stage(connected(met).withColumnRenamed("component", "cluster"), "clusters")
+        discard(met)
         items = _items_of(clusters.select("node"), named, texts, width).dropDuplicates(["node"])
         more = _blocks(clusters, items).groupBy("cluster", "i", "j").applyInArrow(_compared(percent), "a long, b long")
-        components = connected(links.union(more))
+        components = connected(components.toDF("a", "b").union(more))
+        discard(clusters)
 
     of = sets.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     first = of.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
