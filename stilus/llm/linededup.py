@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import WORD, stage, tasks, text_of
+from stilus.llm.common import WORD, discard, free_name, packs, stage, text_of
 from stilus.llm.sharing import shared
 from stilus.llm.textkit import Sequences, Slab, mix, slabs
 
 _U = np.uint64
 #: Lines of fewer words stay (1: those without a word); lines of at least NEAR words may differ by a word.
 LEAST, NEAR = 1, 8
-#: Texts up to this number are looked up by broadcasting their keys; more by shuffling.
-BROADCAST = 300_000
+#: Texts are looked up by broadcasting their keys and line numbers up to so many bytes; beyond, by shuffling.
+BROADCAST = 16 << 20
 
 
 def _lines(slab: Slab, least: int):
@@ -128,16 +128,18 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> Dat
     again = lines.join(first.filter("times > 1").select("line", "order"), "line").filter(order > F.col("order"))
     equal = again.select("row", "number", F.lit(0).alias("edited"))
 
-    parts = max(tasks(docs.sparkSession), 40)
+    spark = docs.sparkSession
+    entries = lines.agg(F.sum(F.greatest(F.size("halves"), F.lit(0)))).first()[0] or 0
     halves = lines.filter(F.size("halves") > 0).select(F.explode("halves").alias("key"), F.col("line").alias("value"), F.lit(0).alias("extra"))
-    able = shared(halves, parts).select(F.col("value").alias("line")).distinct()
+    able = shared(halves, packs(spark, entries, 20)).select(F.col("value").alias("line")).distinct()
     wanted = stage(first.select("line", "order").join(able, "line", "left_semi").groupBy("order.row").agg(F.collect_set("order.number").alias("wanted")), "wanted")
     if wanted.isEmpty():
         return equal
-    held = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "row")
+    size = wanted.agg(F.sum(16 + 4 * F.size("wanted"))).first()[0]
+    held = rows.join(F.broadcast(wanted) if size <= BROADCAST else wanted, "row")
     variants = stage(held.mapInArrow(_variants(least), "line long, n int, key long, gone int, words array<long>"), "variants")
 
-    met = shared(variants.select("key", F.col("line").alias("value"), F.col("gone").alias("extra")), parts)
+    met = shared(variants.select("key", F.col("line").alias("value"), F.col("gone").alias("extra")), packs(spark, variants.count(), 20))
     met = met.distinct().select("key", F.col("value").alias("line"), F.col("extra").alias("gone"))
     size = variants.filter("gone < 0").select("line", "n").distinct()
     placed = stage(met.join(size, "line").join(first.select("line", "order"), "line"), "met")
@@ -163,13 +165,15 @@ def without_repeats(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> Da
     whose dropped lines leave no word goes: all it said is said earlier.
     Repeated rows count as one document and are treated alike.
     """
-    drop = repeated_lines(docs, least, near).groupBy("row").agg(F.collect_set("number").alias("_drop")).withColumnRenamed("row", "_row")
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", text_of())).join(drop, "_row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept))
+    row, drop = free_name(docs, "row"), free_name(docs, "drop")
+    lines = repeated_lines(docs, least, near).groupBy("row").agg(F.collect_set("number").alias(drop)).withColumnRenamed("row", row)
+    joined = docs.withColumn(row, F.xxhash64("doc_id", text_of())).join(lines, row, "left")
+    whole = F.col(drop).isNull()
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(drop, i)), "\n")
+    out = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.filter(F.col("_drop").isNull() | F.col("text").rlike(WORD)).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.filter(whole | F.col("text").rlike(WORD)).select(*docs.columns)
 
 
 def line_counts(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> DataFrame:
