@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import Blobs, new_dir, stage, tasks, text_of
+from stilus.llm.common import Blobs, discard, new_dir, stage, text_of, worker_cache
 from stilus.llm.textkit import mix, slabs
 
 _U = np.uint64
@@ -35,6 +36,10 @@ END = mix(np.array([0x656E64], np.uint64))[0]
 PACK = "part int, payload binary"
 #: Bytes of text that a task looks at together.
 READ = 4 << 20
+#: Bytes of text for each range of words; tokens for each block of bigrams; words for each part of their counts.
+RANGE, BLOCK, PART = 32 << 20, 1_000_000, 500_000
+#: Files of bigrams that a worker keeps mapped; a larger model is mapped as it is looked into.
+MAPPED = 8192
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -130,6 +135,8 @@ class Vocabulary:
     before: list[int]
 
     def open(self) -> Vocabulary:
+        if hasattr(self, "words"):
+            return self
         store = Blobs(self.uri)
         sizes = np.diff(self.before)
         self.words = [store.get(f"words-{r}", np.uint64) if n else np.empty(0, np.uint64) for r, n in enumerate(sizes)]
@@ -156,6 +163,16 @@ class Vocabulary:
         return ids, counts, which
 
 
+def opened(made):
+    """A vocabulary or model as this worker has opened it: once, for all its tasks."""
+    cache = worker_cache("kneser_ney")
+    key = type(made).__name__, made.uri
+    if key not in cache:
+        cache.clear()
+        cache[key] = made.open()
+    return cache[key]
+
+
 def _bigrams(vocabulary: Vocabulary, tokens: np.ndarray, begin: np.ndarray):
     """Ids of each token and of the one before it, and the counts of both."""
     ids, counts, which = vocabulary.look(tokens)
@@ -195,11 +212,11 @@ def _count_bigrams(vocabulary: Vocabulary, blocks: int, heavy: int):
         return keys[at], where[at], np.add.reduceat(n, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary.open()
+        own = opened(vocabulary)
         found, held = [], 0
         for batch in batches:
             for slab in slabs(batch.column("text"), READ):
-                before, ids, weight, _ = _bigrams(vocabulary, *_tokens(slab))
+                before, ids, weight, _ = _bigrams(own, *_tokens(slab))
                 keys = before.astype(np.uint64) << _U(32) | ids.astype(np.uint64)
                 where = _block_of(before, keys, weight, blocks, heavy).astype(np.int32)
                 keys, at, n = np.unique(keys, return_index=True, return_counts=True)
@@ -231,7 +248,7 @@ def _store_bigrams(uri: str, parts: int):
         for k in range(parts):
             at = order[cut[k] : cut[k + 1]]
             if len(at):
-                yield k, kind, _pack(ids[at].astype(np.uint32), *(v[at].astype(np.uint32) for v in values)), None
+                yield k, kind, _pack(ids[at].astype(np.uint32), *(v[at].astype(np.int64) for v in values)), None
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -245,7 +262,7 @@ def _store_bigrams(uri: str, parts: int):
         keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
         store = Blobs(uri)
         store.put(f"bigrams-{part}", keys)
-        store.put(f"times-{part}", counts.astype(np.uint32))
+        store.put(f"times-{part}", counts.astype(np.uint32 if int(counts.max(initial=0)) <= 0xFFFFFFFF else np.int64))
         context, one, two, more, total = _summed(keys >> _U(32), counts == 1, counts == 2, counts > 2, counts)
         after, contexts = _summed(keys & _MASK, np.ones(len(keys), np.uint8))
         rows = [(part, "block", None, [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))])]
@@ -262,7 +279,7 @@ def _store_stats(uri: str):
         part = table.column("part")[0].as_py()
         store, seen = Blobs(uri), [0] * 6
         for kind, width in (("context", 4), ("after", 1)):
-            found = [_unpack(p.as_buffer(), *["<u4"] * (width + 1)) for k, p in zip(table.column("kind"), table.column("payload"), strict=True) if k.as_py() == kind]
+            found = [_unpack(p.as_buffer(), "<u4", *["<i8"] * width) for k, p in zip(table.column("kind"), table.column("payload"), strict=True) if k.as_py() == kind]
             columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.uint32)] * (width + 1)
             ids, *values = _summed(*columns)
             store.put(f"{kind}-{part}", ids.astype(np.uint32))
@@ -304,10 +321,16 @@ class Model:
     spare: float
 
     def open(self) -> Model:
+        if hasattr(self, "block"):
+            return self
         store = Blobs(self.uri)
         self.vocabulary.open()
-        self.bigrams = [store.get(f"bigrams-{k}", np.uint64) for k in range(self.blocks)]
-        self.times = [store.get(f"times-{k}", np.uint32) for k in range(self.blocks)]
+
+        def block(k: int) -> tuple[np.ndarray, np.ndarray]:
+            keys, times = store.get(f"bigrams-{k}", np.uint64), store.get(f"times-{k}", np.uint8)
+            return keys, times.view(np.int64 if len(times) == 8 * len(keys) else np.uint32)
+
+        self.block = lru_cache(MAPPED)(block)
         self.stats = {kind: [(store.get(f"{kind}-{k}", np.uint32), store.get(f"{kind}s-{k}", np.int64).reshape(-1, width)) for k in range(self.parts)] for kind, width in (("context", 4), ("after", 1))}
         return self
 
@@ -336,9 +359,11 @@ class Model:
         times = np.zeros(len(keys), np.int64)
         for k in range(self.blocks):
             o = order[cut[k] : cut[k + 1]]
-            if len(o) and len(self.bigrams[k]):
-                near = np.minimum(np.searchsorted(self.bigrams[k], keys[o]), len(self.bigrams[k]) - 1)
-                times[o] = np.where(self.bigrams[k][near] == keys[o], self.times[k][near], 0)
+            if len(o):
+                known, often = self.block(k)
+                if len(known):
+                    near = np.minimum(np.searchsorted(known, keys[o]), len(known) - 1)
+                    times[o] = np.where(known[near] == keys[o], often[near], 0)
         each, of = np.unique(ids, return_inverse=True)
         contexts = self._stats("after", each)[:, 0]
         d = np.array(self.lower)
@@ -360,17 +385,17 @@ def fit(docs: DataFrame) -> Model:
     An empty table gives a model without words, which scores every token alike.
     """
     spark = docs.sparkSession
-    uri, n = new_dir(spark, "lm"), tasks(spark)
+    uri = new_dir(spark, "lm")
     texts = docs.select(text_of().alias("text"))
-    ranges = max(16, n)
+    ranges = max(16, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE)
     found = texts.mapInArrow(_count_words(ranges), PACK).groupBy("part").applyInArrow(_store_words(uri), "part int, n long, tokens long").collect()
     sizes = dict.fromkeys(range(ranges), 0) | {r.part: r.n for r in found}
     vocabulary = Vocabulary(uri, [0, *np.cumsum([sizes[r] for r in range(ranges)]).tolist()])
     if vocabulary.before[-1] > 0xFFFFFFFD:
         raise ValueError("the vocabulary has more words than 32-bit ids")
     tokens = sum(r.tokens for r in found)
-    blocks = max(n, 40, tokens // 4_000_000)
-    parts = max(n, 40, vocabulary.before[-1] // 4_000_000)
+    blocks = max(40, tokens // BLOCK)
+    parts = max(16, vocabulary.before[-1] // PART)
     heavy = max(1000, tokens // (8 * blocks))
     counted = stage(texts.mapInArrow(_count_bigrams(vocabulary, blocks, heavy), PACK).groupBy("part").applyInArrow(_store_bigrams(uri, parts), STATS), "lm-stats")
     store = Blobs(uri)
@@ -390,6 +415,7 @@ def fit(docs: DataFrame) -> Model:
         for kind in ("context", "after"):
             store.put(f"{kind}-{k}", np.empty(0, np.uint32))
             store.put(f"{kind}s-{k}", np.empty(0, np.int64))
+    discard(counted)
     lower = discounts(low[1:5])
     spare = (low[1] * lower[1] + low[2] * lower[2] + low[5] * lower[3]) / low[0] if low[0] else 1.0
     return Model(uri, vocabulary, tokens, blocks, parts, heavy, discounts(high[1:5]), lower, low[0], spare)
@@ -397,12 +423,12 @@ def fit(docs: DataFrame) -> Model:
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.open()
-        n, v = model.tokens, model.vocabulary.n
+        own = opened(model)
+        n, v = own.tokens, own.vocabulary.n
         for batch in batches:
             for slab in slabs(batch.column("text"), READ):
                 tokens, begin = _tokens(slab)
-                p, counts = model.score(tokens, begin)
+                p, counts = own.score(tokens, begin)
                 base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
                 at = begin[:-1]
                 kept = [batch.column(k).slice(slab.first, slab.n) for k in range(batch.num_columns - 1)]
