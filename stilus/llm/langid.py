@@ -27,11 +27,27 @@ from stilus.llm.urltree import host_and_path
 BUCKETS = 1 << 15
 #: Added to each trigram count; pages' worth of trust in the level above; weight of a trigram, as trigrams overlap.
 ADDED, TRUST, TEMPER = 0.5, 5.0, 1 / 3
-#: Languages that a model may have.
-MOST = 64
 
-_DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+_HIDDEN = re.compile(r"(?i)<!--|<(script|style)\b")
+_ENDS = {None: re.compile("-->"), "script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>")}
+_TAG = re.compile(r"<[^<>]*>")
+#: The attribute itself: not one whose name only ends so, nor the inside of another's value.
+_DECLARED = re.compile(r"""(?i)<html(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*?[\s"'/]lang\s*=\s*["']?\s*([a-z]{2,8})""")
+
+
+def shown(page: str) -> str:
+    """The page without comments, scripts and styles; one that never ends hides nothing, and is looked for once."""
+    pieces, at, endless = [], 0, set()
+    for m in _HIDDEN.finditer(page):
+        kind = m[1] and m[1].lower()
+        if m.start() < at or kind in endless:
+            continue
+        if end := _ENDS[kind].search(page, m.end()):
+            pieces.append(page[at : m.start()])
+            at = end.end()
+        else:
+            endless.add(kind)
+    return " ".join([*pieces, page[at:]])
 
 
 def _trigrams(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +68,8 @@ def _trigrams(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order and log probabilities of trigram buckets, from all of ``labelled`` (text, lang).
 
-    Rows without a language are left out. Each task sends one row a language.
+    Rows without a language are left out; without any labelled row there are
+    no languages. Each task sends one row a language, whatever the rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,10 +93,8 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     rows = labelled.filter("lang is not null").select("lang", text_of().alias("text"))
     found = rows.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(total, "lang string, counts binary")
-    by = sorted((r.lang, np.frombuffer(r.counts, np.int64)) for r in found.limit(MOST + 1).collect())
-    if not 0 < len(by) <= MOST:
-        raise ValueError(f"labelled texts must have 1 to {MOST} languages")
-    counts = np.stack([c for _, c in by]) + ADDED
+    by = sorted((r.lang, np.frombuffer(r.counts, np.int64)) for r in found.collect())
+    counts = np.array([c for _, c in by]).reshape(-1, BUCKETS) + ADDED
     return [lang for lang, _ in by], np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -88,15 +103,16 @@ def _read(model: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = batch.column("html").to_pylist()
+            pages = [shown(x) for x in batch.column("html").to_pylist()]
             declared = [m[1].lower() if (m := _DECLARED.search(x)) else None for x in pages]
-            texts = pa.array([html.unescape(_DROP.sub(" ", x)) for x in pages], pa.large_string())
+            texts = pa.array([html.unescape(_TAG.sub(" ", x)) for x in pages], pa.large_string())
             for slab in slabs(texts):
                 buckets, first = _trigrams(slab)
-                sums = np.zeros((len(model), len(buckets) + 1))
-                np.cumsum(model[:, buckets], axis=1, out=sums[:, 1:])
-                score = ((sums[:, first[1:]] - sums[:, first[:-1]]) * TEMPER).T
-                score = score - score.max(axis=1, keepdims=True)
+                score, sums = np.zeros((slab.n, len(model))), np.zeros(len(buckets) + 1)
+                for k, own in enumerate(model):
+                    np.cumsum(own[buckets], out=sums[1:])
+                    score[:, k] = (sums[first[1:]] - sums[first[:-1]]) * TEMPER
+                score -= score.max(axis=1, keepdims=True, initial=-np.inf) if len(model) else 0
                 kept = [batch.column(k).slice(slab.first, slab.n) for k in range(batch.num_columns - 1)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(slab.n + 1, dtype=np.int32) * len(model)), pa.array(score.ravel()))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(declared[slab.first : slab.first + slab.n], pa.string()), lists], [*batch.schema.names[:-1], "declared", "text_score"])
@@ -110,14 +126,18 @@ def identify(pages: DataFrame, languages: list[str], model: np.ndarray) -> DataF
     Returns page_id, host, declared (null: none), text_lang (by the text
     alone), lang and confidence (its posterior). A page without text, or a
     null one, goes by the other evidence; a null URL has an empty host. Ties
-    go to the language that comes first. Repeated rows are judged alike; an
-    empty table gives no rows; other columns are ignored.
+    go to the language that comes first. Without any trained language the
+    declared one is taken, text_lang and confidence being null. Repeated rows
+    are judged alike; an empty table gives no rows; other columns are ignored.
     """
     host, _ = host_and_path(F.col("url"))
     parts = F.split("host", r"\.")
     rows = pages.select("page_id", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     read = rows.mapInArrow(_read(model), f"page_id {kind}, host string, declared string, text_score array<double>")
+    if not languages:
+        nothing = F.lit(None)
+        return read.select("page_id", "host", "declared", nothing.cast("string").alias("text_lang"), F.col("declared").alias("lang"), nothing.cast("double").alias("confidence"))
     names = [f"p{k}" for k in range(len(languages))]
     total = F.aggregate(F.transform("text_score", F.exp), F.lit(0.0), lambda a, x: a + x)
     seen = read.withColumn("domain", F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2))).withColumn("suffix", F.element_at(parts, -1))
