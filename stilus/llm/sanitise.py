@@ -16,16 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import WORD, stage, text_of
+from stilus.llm.common import stage, text_of
 
 #: Texts in which a term must stand with an entity.
 SUPPORT = 3
 #: Share of an entity's information that a term may not disclose.
 DISCLOSURE = 0.9
-#: Terms up to this number are broadcast; more are joined by shuffling.
-BROADCAST = 100_000
-#: Letters and digits only at a term's ends.
-TRIM = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: Tables of terms are broadcast up to so many bytes; larger ones are joined by shuffling.
+BROADCAST = 16 << 20
+#: A word from its first letter or digit to its last.
+TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
+#: Matches whose positions are added up together.
+TOGETHER = 256
+_MATCHES = "array<struct<match:string,start:bigint,end:bigint>>"
+_SPANS = "array<struct<kind:string,match:string,start:bigint,end:bigint>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -69,22 +73,33 @@ ENTITIES = [
 
 
 def matches(text: Column, pattern: Column) -> Column:
-    """All matches, leftmost and not overlapping: array of (match, start, end)."""
+    """All matches, leftmost and not overlapping: array of (match, start, end).
+
+    Lengths of gaps and matches add up to positions, some matches at a time,
+    so that very many matches in one text are not copied again for each.
+    """
     cells = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
+    none, nothing = F.expr(f"cast(array() as {_MATCHES})"), F.expr(f"cast(array() as array<{_MATCHES}>)")
 
     def step(done: Column, cell: Column) -> Column:
         start = done["at"] + F.length(cell["gap"])
         end = start + F.coalesce(F.length(cell["match"]), F.lit(0))
-        new = F.when(cell["match"].isNotNull(), F.array(F.struct(cell["match"].alias("match"), start.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<match:string,start:bigint,end:bigint>>)"))
-        return F.struct(end.alias("at"), F.concat(done["out"], new).alias("out"))
+        new = F.array_append(done["out"], F.struct(cell["match"].alias("match"), start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(cell["match"].isNotNull(), new).otherwise(done["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<match:string,start:bigint,end:bigint>>)").alias("out"))
-    return F.aggregate(cells, zero, step, lambda x: x["out"])
+    def block(done: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(cells, k * TOGETHER + 1, F.lit(TOGETHER)), F.struct(done["at"].alias("at"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.array_append(done["out"], own["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
+    few = F.aggregate(cells, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda x: x["out"])
+    blocks = F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / TOGETHER).cast("int"))
+    return F.when(F.size(cells) <= TOGETHER, few).otherwise(F.aggregate(blocks, zero, block, lambda x: F.flatten(x["out"])))
 
 
 def entities(text: Column) -> Column:
     """All spans of protected entities, by kind and then start: array of (kind, match, start, end)."""
-    none = F.expr("cast(array() as array<struct<kind:string,match:string,start:bigint,end:bigint>>)")
+    none = F.expr(f"cast(array() as {_SPANS})")
 
     def of_kind(kind: str, holds: str, pattern: str, passes) -> Column:
         own = F.filter(matches(text, F.lit(pattern)), lambda m: passes(m["match"]))
@@ -99,33 +114,31 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def term(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, TRIM, ""))
-
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-def _among(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
-    """Join with a table of terms: broadcast if it is small, else by shuffling."""
-    return left.join(F.broadcast(right) if right.limit(BROADCAST + 1).count() <= BROADCAST else right, on, how)
 
+def _small(table: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcasting if its counted bytes are few."""
+    size = sum((F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in table.columns), 16 * F.count("*"))
+    return F.broadcast(table) if table.agg(size).first()[0] <= BROADCAST else table
 
-def _words(texts: DataFrame, *keys: str) -> DataFrame:
-    """Each text's distinct terms, one row each."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    return texts.select(*keys, F.explode(words).alias("word")).withColumn("term", F.regexp_replace("word", TRIM, ""))
 
+def revealing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """The terms that disclose too much of some entity, and where candidates stand.
 
-def revealing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """The terms that disclose too much of some entity: term.
-
-    ``found``: doc_id, text and entities of the texts that hold any. ``texts``: all.
+    ``found``: doc_id, text and entities of the texts that hold any. ``texts``:
+    all, with ``row``, their key. Returns (entity, term, disclosure) and (row,
+    term) of all texts. A term is a word from its first letter or digit to its
+    last, in lower case, whatever its length; whole texts are its context.
     """
     names = F.array_distinct(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], F.lower(e["match"]))))
-    own = F.transform("entities", lambda e: term(e["match"]))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    terms = F.array_except(F.transform(words, lambda w: F.regexp_replace(w, TRIM, "")), F.concat(own, F.array(F.lit(""))))
+    own = F.flatten(F.transform("entities", lambda e: terms_of(e["match"])))
+    terms = F.array_except(terms_of(F.col("text")), own)
     # Equal texts are one row with their number.
-    whole = found.dropDuplicates(["doc_id", "text"]).groupBy("text").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))
-    whole = stage(whole.select(F.xxhash64("text").alias("row"), "copies", names.alias("names"), terms.alias("terms")), "whole")
+    whole = found.groupBy(F.xxhash64("text").alias("row"), "text").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("copies"), F.first("entities").alias("entities"))
+    whole = stage(whole.select("row", "copies", names.alias("names"), terms.alias("terms")), "whole")
     named = whole.select("row", "copies", F.explode("names").alias("entity"))
     n_e = named.groupBy("entity").agg(F.sum("copies").alias("n_e")).filter(F.col("n_e") >= support)
     there = whole.select("row", F.explode("terms").alias("term"), "copies")
@@ -140,12 +153,21 @@ def revealing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclo
     pairs = named.join(n_e, "entity").join(there, "row").filter(told(F.col("least"), F.least("least", "n_e")) >= disclosure)
     counted = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("least"))
     able = stage(counted.filter((F.col("n_te") >= support) & (told(F.col("least"), F.col("n_te")) >= disclosure)), "able")
-    if able.isEmpty():
-        return able.select("term")
-    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    held = _among(_words(keyed, "row"), able.select("term").distinct(), "term", "left_semi").select("row", "term").distinct()
-    times = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    return able.join(times, "term").filter(told(F.col("n_t"), F.col("n_te")) >= disclosure).select("term").distinct()
+    candidates = stage(able.select("term").distinct(), "candidates")
+    if candidates.isEmpty():
+        return able.select("entity", "term", F.lit(1.0).alias("disclosure")), texts.select("row", F.lit("").alias("term")).limit(0)
+    words = texts.select("row", F.explode(terms_of(F.col("text"))).alias("term"))
+    held = stage(words.join(_small(candidates), "term", "left_semi").select("row", "term"), "held")
+    times = held.groupBy("term").agg(F.count_distinct("row").alias("n_t"))
+    rated = able.join(times, "term").select("entity", "term", told(F.col("n_t"), F.col("n_te")).alias("disclosure"))
+    return rated.filter(F.col("disclosure") >= disclosure), held
+
+
+def any_of(terms: Column) -> Column:
+    """A pattern for the terms as whole words, the longest first."""
+    longest = F.array_sort(terms, lambda a, b: F.coalesce(F.nullif(F.length(b) - F.length(a), F.lit(0)), F.when(a < b, -1).otherwise(1)))
+    quoted = F.transform(longest, lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def found_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -153,27 +175,24 @@ def found_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DIS
 
     Returns doc_id, text (null: empty), entities (array of kind, match, start,
     end by kind and start; code points, end exclusive) and terms (the same for
-    revealing terms, kind ``term``, where they are not inside an entity).
-    Repeated rows have the same spans; null ids are kept; other columns are
+    revealing terms, kind ``term``, where they are not inside an entity; of
+    terms that overlap, the leftmost and longest). Repeated rows have the same
+    spans; null ids are kept; an empty table gives no rows; other columns are
     ignored.
     """
-    texts = docs.select("doc_id", text_of().alias("text"))
-    rows = texts.withColumn("entities", entities(F.col("text")))
-    found = stage(rows.filter(F.size("entities") > 0), "entities")
-    none = F.expr("cast(array() as array<struct<kind:string,match:string,start:bigint,end:bigint>>)")
-    terms = stage(revealing(found, texts, support, disclosure), "terms")
+    texts = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    found = stage(texts.select("doc_id", "text", entities(F.col("text")).alias("entities")).filter(F.size("entities") > 0), "entities")
+    rated, held = revealing(found, texts, support, disclosure)
+    terms = stage(rated.select("term").distinct(), "terms")
+    none = F.expr(f"cast(array() as {_SPANS})")
     if terms.isEmpty():
-        return rows.withColumn("terms", none)
-    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    where = stage(_among(_words(keyed, "row"), terms, "term", "left_semi").select("row", "term").distinct(), "where")
-    held = keyed.join(where, "row").dropDuplicates(["row", "term"])
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), "term", F.lit(r"\E(?![\p{L}\p{N}])"))
-    placed = held.select("row", F.explode(matches(F.col("text"), pattern)).alias("m"))
-    by_row = placed.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.match").alias("match")))).alias("placed"))
-    out = rows.withColumn("row", F.xxhash64("doc_id", "text")).join(by_row, "row", "left")
+        return texts.select("doc_id", "text", entities(F.col("text")).alias("entities"), none.alias("terms"))
+    wanted = stage(held.join(_small(terms), "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("wanted")), "wanted")
+    rows = texts.join(_small(wanted), "row", "left").withColumn("entities", entities(F.col("text")))
+    placed = rows.withColumn("placed", F.when(F.col("wanted").isNotNull(), matches(F.col("text"), any_of(F.col("wanted")))))
     free = F.filter("placed", lambda p: ~F.exists("entities", lambda e: (p["start"] < e["end"]) & (e["start"] < p["end"])))
     named = F.transform(free, lambda p: F.struct(F.lit("term").alias("kind"), p["match"].alias("match"), p["start"].alias("start"), p["end"].alias("end")))
-    return out.select("doc_id", "text", "entities", F.coalesce(named, none).alias("terms"))
+    return placed.select("doc_id", "text", "entities", F.coalesce(named, none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, **parameters) -> DataFrame:
