@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from stilus.functions.arrays import bound, running_totals
+
 CONTEXT = 70
 
 
@@ -81,13 +83,8 @@ def occurrences(text: Column, feature: str, whole: bool) -> Column:
     quoted = "\\Q" + feature.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     here = f"(?<![^ ])(?={quoted}(?![^ ]))" if whole else f"(?={quoted})"
     none = F.expr("cast(array() as array<int>)")
-
-    def step(done: Column, piece: Column) -> Column:
-        end = done["at"] + F.length(piece)
-        return F.struct(end.alias("at"), F.array_append(done["out"], end).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    inner = F.aggregate(F.split(text, here), zero, step, lambda x: F.slice(x["out"], F.lit(1), F.size(x["out"]) - 1))
+    ends = running_totals(F.transform(F.split(text, here), lambda x: F.length(x).cast("long")))
+    inner = bound(ends, lambda x: F.slice(x, F.lit(1), F.size(x) - 1)).cast("array<int>")
     return F.when(F.lit(feature) == "", none).otherwise(F.concat(F.when(text.rlike(f"^{here}"), F.array(F.lit(0))).otherwise(none), inner))
 
 

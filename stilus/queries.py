@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from stilus.functions import features, normalize
 from stilus.functions import text as tx
 from stilus.operators import audit, cluster, cues, distance, matrix, passages, profile, sampling
-from stilus.sources import sinks
-from stilus.storage import table
+from stilus.sources import readers, sinks
+from stilus.storage import new_dir, stage, table
 
 WIDTH, COUNT, TOP, TARGET = 500, 10, 100, "en"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +49,7 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
 
 def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = texts(spark, sf_dir)
-    return sampling.samples(t, words(), sampling.even_chunks(sampling.totals(t, words()), WIDTH, COUNT), WIDTH).cache()
+    return stage(sampling.samples(t, words(), sampling.even_chunks(sampling.totals(t, words()), WIDTH, COUNT), WIDTH), "samples")
 
 
 def frequency_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def frequency_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.standardised(frequency_matrix(spark, sf_dir)).cache()
+    return stage(matrix.standardised(frequency_matrix(spark, sf_dir)), "matrix")
 
 
 def distances(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
@@ -206,20 +206,40 @@ def feature_evidence(spark, sf_dir):
     return rounded(matrix.evidence(frequency_matrix(spark, sf_dir)), "rate")
 
 
-def merges_of(spark, sf_dir):
-    rows = distances(spark, sf_dir, "delta").select("a", "b", "d").collect()
+def merges_of(spark, sf_dir, metric: str = "delta"):
+    rows = distances(spark, sf_dir, metric).select("a", "b", "d").collect()
     names = sorted({r.a for r in rows} | {r.b for r in rows})
     place = {n: k for k, n in enumerate(names)}
     return names, cluster.linkage(cluster.square(len(names), [(place[r.a], place[r.b], r.d) for r in rows]))
 
 
-@query()
+def linkage_sql(expression: str, tag: str = "") -> str:
+    """Pairs, names, merges (m), leaves below nodes (below) and heights at which leaves meet (coph), step by step."""
+    return f"""pair{tag} AS (SELECT a.sample AS a, b.sample AS b, a.grp AS group_a, b.grp AS group_b, {expression} AS d FROM std a JOIN std b ON a.feature = b.feature AND (a.grp < b.grp OR a.grp = b.grp AND a.sample < b.sample) GROUP BY ALL),
+nm{tag} AS (SELECT sample, grp, CAST(row_number() OVER (ORDER BY sample) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT sample, grp FROM std)),
+st{tag} AS (
+  SELECT 0 AS step, least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, CASE WHEN x.k < y.k THEN 1 ELSE 1 END AS sa, 1 AS sb, p.d, (SELECT CAST(count(*) AS INTEGER) FROM nm{tag}) AS n FROM pair{tag} p JOIN nm{tag} x ON x.sample = p.a JOIN nm{tag} y ON y.sample = p.b
+  UNION ALL
+  SELECT step + 1, least(x, y), greatest(x, y), CAST(max(CASE WHEN x < y THEN sx ELSE sy END) AS INTEGER), CAST(max(CASE WHEN x < y THEN sy ELSE sx END) AS INTEGER), sum(w * d) / sum(w), n FROM (
+    SELECT step, n, d, CASE WHEN a IN (ma, mb) THEN n + step ELSE a END AS x, CASE WHEN b IN (ma, mb) THEN n + step ELSE b END AS y, CASE WHEN a IN (ma, mb) THEN msa + msb ELSE sa END AS sx, CASE WHEN b IN (ma, mb) THEN msa + msb ELSE sb END AS sy,
+      CASE WHEN a IN (ma, mb) THEN sa WHEN b IN (ma, mb) THEN sb ELSE 1 END AS w FROM (
+      SELECT *, first_value(a) OVER o AS ma, first_value(b) OVER o AS mb, first_value(sa) OVER o AS msa, first_value(sb) OVER o AS msb FROM st{tag} WINDOW o AS (ORDER BY d, a, b))
+    WHERE NOT (a = ma AND b = mb)) GROUP BY step, n, least(x, y), greatest(x, y)),
+m{tag} AS (SELECT step, a, b, d, sa + sb AS size, n FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY d, a, b) AS r FROM st{tag}) WHERE r = 1),
+below{tag} AS (SELECT k AS node, k AS leaf FROM nm{tag} UNION ALL SELECT e.node, t.leaf FROM below{tag} t JOIN (SELECT n + step AS node, a AS child FROM m{tag} UNION ALL SELECT n + step, b FROM m{tag}) e ON e.child = t.node),
+coph{tag} AS (SELECT x.leaf AS a, y.leaf AS b, arg_min(m.d, m.step) AS d FROM below{tag} x JOIN below{tag} y ON x.node = y.node AND x.leaf < y.leaf JOIN m{tag} m ON m.n + m.step = x.node GROUP BY x.leaf, y.leaf)"""
+
+
+LINKED = STANDARD_SQL.replace("WITH tok", "WITH RECURSIVE tok", 1) + ",\n" + linkage_sql(DELTA)
+
+
+@query(LINKED + " SELECT step, a AS left, b AS right, round(d, 6) AS distance, size FROM m")
 def linkage(spark, sf_dir):
     _, merges = merges_of(spark, sf_dir)
     return spark.createDataFrame([(k, a, b, float(round(d, 6)), n) for k, (a, b, d, n) in enumerate(merges)], "step int, left int, right int, distance double, size int")
 
 
-@query()
+@query(LINKED + " SELECT x.sample AS a, y.sample AS b, round(d, 6) AS d FROM coph JOIN nm x ON x.k = coph.a JOIN nm y ON y.k = coph.b")
 def cophenetic(spark, sf_dir):
     names, merges = merges_of(spark, sf_dir)
     h = cluster.cophenetic(len(names), merges)
@@ -227,7 +247,12 @@ def cophenetic(spark, sf_dir):
     return spark.createDataFrame(rows, "a string, b string, d double")
 
 
-@query()
+@query(
+    LINKED
+    + """, own AS (SELECT g.grp, node, count(*) FILTER (nm.grp = g.grp) AS held, count(*) AS members FROM below JOIN nm ON nm.k = leaf, (SELECT DISTINCT grp FROM nm) g(grp) GROUP BY g.grp, node),
+best AS (SELECT grp, arg_min(node, members) AS node, CAST(held AS INTEGER) AS targets, CAST(min(members) AS INTEGER) AS members FROM own WHERE held = (SELECT count(*) FROM nm WHERE nm.grp = own.grp) GROUP BY grp, held)
+SELECT grp AS "group", node, targets, members, CAST(targets AS DOUBLE) / members AS purity, CASE WHEN targets < 2 THEN 'Not testable' WHEN targets = members THEN 'Separate' ELSE 'Mixed' END AS verdict FROM best"""
+)
 def smallest_subtree(spark, sf_dir):
     names, merges = merges_of(spark, sf_dir)
     rows = []
@@ -238,12 +263,47 @@ def smallest_subtree(spark, sf_dir):
     return spark.createDataFrame(rows, "group string, node int, targets int, members int, purity double").withColumn("verdict", tx.verdict(F.col("purity"), F.col("targets") > 1))
 
 
-@query()
+RANKED = "(SELECT a, b, rank() OVER (ORDER BY round(d, 9)) + (count(*) OVER (PARTITION BY round(d, 9)) - 1) / 2.0 AS r FROM {})"
+
+
+@query(LINKED + ",\n" + linkage_sql(COSINE, "_c") + f" SELECT round(corr(x.r, y.r), 6) AS agreement FROM {RANKED.format('coph')} x JOIN {RANKED.format('coph_c')} y ON x.a = y.a AND x.b = y.b")
+def tree_agreement(spark, sf_dir):
+    """Rank correlation of the heights at which samples meet in the trees of two distances."""
+    heights = []
+    for metric in ("delta", "cosine"):
+        names, merges = merges_of(spark, sf_dir, metric)
+        heights.append(cluster.cophenetic(len(names), merges)[np.triu_indices(len(names), 1)].round(9))
+    return spark.createDataFrame([(float(round(cluster.spearman(*heights), 6)),)], "agreement double")
+
+
+def component_sql(k: int, of: str) -> str:
+    """The eigenvector (v{k}) of the largest eigenvalue of the matrix ``of`` (i, j, x) by powers of it, and what is left without (k{k + 1})."""
+    squares, last = [], of
+    for n in range(6):
+        squares.append(f"sq{k}_{n} AS (SELECT a.i, b.j, sum(a.x * b.x) / max(sum(a.x * b.x)) OVER () AS x FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j)")
+        last = f"sq{k}_{n}"
+    return ",\n".join(squares) + f""",
+pw{k} AS (SELECT 0 AS step, k AS i, 1.0::DOUBLE + k * 0.01::DOUBLE AS x FROM nm UNION ALL SELECT step, i, x / sqrt(sum(x * x) OVER ()) FROM (SELECT p.step + 1 AS step, q.i, sum(q.x * p.x) AS x FROM pw{k} p JOIN {last} q ON q.j = p.i WHERE p.step < 80 GROUP BY p.step, q.i)),
+v{k} AS (SELECT i, x FROM pw{k} WHERE step = 80),
+e{k} AS (SELECT sum(a.x * m.x * b.x) AS value FROM {of} m JOIN v{k} a ON a.i = m.i JOIN v{k} b ON b.i = m.j),
+k{k + 1} AS (SELECT m.i, m.j, m.x - e{k}.value * a.x * b.x AS x FROM {of} m JOIN v{k} a ON a.i = m.i JOIN v{k} b ON b.i = m.j, e{k}),
+sign{k} AS (SELECT arg_max(sign(l), abs(l)) AS s FROM (SELECT feature, sum(z * v{k}.x) AS l FROM std JOIN nm USING (sample) JOIN v{k} ON v{k}.i = nm.k GROUP BY feature))"""
+
+
+@query(
+    STANDARD_SQL.replace("WITH tok", "WITH RECURSIVE tok", 1)
+    + ", nm AS (SELECT sample, CAST(row_number() OVER (ORDER BY sample) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT sample FROM std)),\nk1 AS (SELECT x.k AS i, y.k AS j, sum(a.z * b.z) AS x FROM std a JOIN std b USING (feature) JOIN nm x ON x.sample = a.sample JOIN nm y ON y.sample = b.sample GROUP BY x.k, y.k),\n"
+    + component_sql(1, "k1")
+    + ",\n"
+    + component_sql(2, "k2")
+    + " SELECT sample, round(v1.x * sqrt(e1.value) * sign1.s, 4) + 0.0 AS x, round(v2.x * sqrt(e2.value) * sign2.s, 4) + 0.0 AS y FROM nm JOIN v1 ON v1.i = k JOIN v2 ON v2.i = k, e1, e2, sign1, sign2"
+)
 def pca(spark, sf_dir):
-    rows = distance.packed(standard(spark, sf_dir), "z").orderBy("idx").collect()
-    names = [r.feature for r in standard(spark, sf_dir).select("feature", "place").distinct().orderBy("place").collect()]
+    z = standard(spark, sf_dir)
+    rows = distance.packed(z, "z").orderBy("idx").collect()
+    names = [r.feature for r in z.select("feature", "place").distinct().orderBy("place").collect()]
     coords = cluster.principal(np.array([r.v for r in rows]), names)["coords"]
-    return spark.createDataFrame([(r.sample, float(p[0]), float(p[1])) for r, p in zip(rows, coords, strict=True)], "sample string, x double, y double")
+    return spark.createDataFrame([(r.sample, round(float(p[0]), 4) + 0.0, round(float(p[1]), 4) + 0.0) for r, p in zip(rows, coords, strict=True)], "sample string, x double, y double")
 
 
 def poems(spark, sf_dir):
@@ -404,6 +464,22 @@ def passage_match(spark, sf_dir):
     return passages.matched(streams(spark, sf_dir), known(spark, sf_dir)).withColumn("rows", F.array_join("rows", ","))
 
 
+@query(
+    SAMPLES
+    + """ SELECT sample, sha256(array_to_string(list_transform(words, lambda w, i: CASE WHEN (i - 1) % 97 BETWEEN 3 AND 7 THEN translate(w, 'aeiou', 'AEIOU') ELSE w END), ' ')) AS display_sha256,
+CAST(len(list_filter(range(len(words) - 4), lambda i: i % 97 = 3)) AS INTEGER) AS spans, '3,7' AS poets FROM smp"""
+)
+def display_overlay(spark, sf_dir):
+    """Samples shown with another spelling of five words in every 97."""
+    s = even_samples(spark, sf_dir).select("sample", "group", (F.col("chunk") * WIDTH).alias("start_word"), F.col("words").alias("tokens"), "text")
+    at = F.explode(F.sequence(F.lit(3), F.size("tokens") - 5, F.lit(97))).alias("at")
+    p = s.select("group", "start_word", "tokens", at).select("group", (F.col("start_word") + F.col("at")).alias("start_word"), (F.col("start_word") + F.col("at") + 5).alias("end_word"), F.translate(F.array_join(F.slice("tokens", F.col("at") + 1, F.lit(5)), " "), "aeiou", "AEIOU").alias("text"))
+    p = p.withColumns({"rows": F.array(F.lit(1).cast("long")), "poets": F.array(F.lit("3"), F.lit("7"))})
+    shown = passages.overlaid(s, p)
+    poets = F.array_join(F.array_distinct(F.flatten("display_spans.poets")), ",")
+    return shown.select("sample", F.sha2("display_text", 256).alias("display_sha256"), F.size("display_spans").alias("spans"), poets.alias("poets"))
+
+
 def spans(spark, sf_dir):
     """Overlapping made-up intervals of each user: an event's place, and a length and content of its own."""
     e = table(spark, sf_dir, "events").filter("user_id is not null and event_id is not null")
@@ -423,11 +499,40 @@ def overlap_conflicts(spark, sf_dir):
     return passages.conflicts(spans(spark, sf_dir))
 
 
-@query()
+SELECTED = (
+    SPANS.replace("WITH raw", "WITH RECURSIVE raw", 1).replace("text FROM raw)", "text, event_id FROM raw)", 1)
+    + """, con AS (SELECT DISTINCT a.grp, a.start, a."end", a.text FROM sp a JOIN sp b ON a.grp = b.grp AND a.start < b."end" AND b.start < a."end" AND left(a.text, 1) <> left(b.text, 1)),
+clear AS (SELECT * FROM sp ANTI JOIN con USING (grp, start, "end", text)),
+sel AS (SELECT grp, -1 AS start, -1 AS "end", '' AS text, CAST(NULL AS BIGINT) AS event_id FROM clear GROUP BY grp
+  UNION ALL SELECT grp, start, "end", text, event_id FROM (SELECT c.*, row_number() OVER (PARTITION BY c.grp ORDER BY c.start, c."end" DESC, c.text, c.event_id) AS r FROM sel s JOIN clear c ON c.grp = s.grp AND c.start >= s."end") WHERE r = 1)"""
+)
+
+
+@query(SELECTED + ' SELECT grp AS "group", start, "end", text FROM sel WHERE start >= 0')
 def passage_selection(spark, sf_dir):
     return passages.selected(spans(spark, sf_dir)).select("group", "start", "end", "text")
 
 
+def poet_names(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("row"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_type")).alias("name"))
+
+
+@query(SELECTED + """ SELECT grp AS "group", start, "end", CASE WHEN s.event_id % 5 = 0 THEN '' ELSE event_type END AS poets FROM sel s JOIN events e ON e.event_id = s.event_id WHERE start >= 0""")
+def passage_poets(spark, sf_dir):
+    own = passages.attributed(passages.selected(spans(spark, sf_dir)), poet_names(spark, sf_dir))
+    return own.select("group", "start", "end", F.array_join("poets", ",").alias("poets"))
+
+
+@query(
+    SELECTED
+    + """, own AS (SELECT grp, CAST(sum("end" - start) AS BIGINT) AS matched_words, count(*) AS passages FROM sel WHERE start >= 0 GROUP BY grp)
+SELECT DISTINCT e.user_id AS "group", coalesce(matched_words, 0) AS matched_words, 20034 AS source_words, round_even(100 * coalesce(matched_words, 0) / 20034, 2) AS coverage_percent, coalesce(passages, 0) AS passages FROM events e LEFT JOIN own ON grp = user_id WHERE user_id IS NOT NULL"""
+)
+def passage_coverage(spark, sf_dir):
+    totals = table(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").alias("group"), F.lit(20034).alias("total")).distinct()
+    return passages.coverage(passages.selected(spans(spark, sf_dir)), totals)
+
+
 @query(
     SPANS
     + """, r AS (SELECT *, max("end") OVER (PARTITION BY grp ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
@@ -477,7 +582,19 @@ def timed(spark, sf_dir):
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), timed_words.alias("words"))
 
 
-@query()
+CUES = r"""
+WITH RECURSIVE seg AS (SELECT row_number() OVER () AS rid, conv_id * 1000 + turn AS id, regexp_extract_all(text, '\S+') AS ws FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT rid, i - 1 AS i, ws[i] AS word, (i - 1) * CAST(0.4 AS DOUBLE) AS s, (i - 1) * CAST(0.4 AS DOUBLE) + CAST(0.35 AS DOUBLE) AS e FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM seg)),
+cue AS (SELECT rid, i, 1 AS no, s, e, word AS text, length(word) AS width, right(word, 1) IN ('.', '،', '؟', '!') AND e - s >= 1.4::DOUBLE AS closed FROM w WHERE i = 0
+  UNION ALL SELECT rid, i, no, s, e, text, width, right(word, 1) IN ('.', '،', '؟', '!') AND e - s >= 1.4::DOUBLE FROM (
+    SELECT c.rid, w.i, w.word, w.e, c.no + CAST(f AS INTEGER) AS no, CASE WHEN f THEN w.s ELSE c.s END AS s, CASE WHEN f THEN w.word ELSE c.text || ' ' || w.word END AS text, length(w.word) + CASE WHEN f THEN 0 ELSE c.width + 1 END AS width
+    FROM cue c JOIN w ON w.rid = c.rid AND w.i = c.i + 1, LATERAL (SELECT c.closed OR w.e - c.s > 5.8::DOUBLE OR c.width + length(w.word) > 78 AS f))),
+made AS (SELECT rid, no, min(s) AS s, max(e) AS e, arg_max(text, i) AS text FROM cue GROUP BY rid, no),
+near AS (SELECT *, max(no) OVER (PARTITION BY rid) AS n, lead(e) OVER p AS next_e, lead(s) OVER p AS next_s, lead(text) OVER p AS next_text, lag(s) OVER p AS last_s FROM made WINDOW p AS (PARTITION BY rid ORDER BY no)),
+cut AS (SELECT rid, no, n, s, e, text, next_e, next_text, no = n - 1 AND next_e - next_s < 1.4::DOUBLE AND next_e - s <= 8.0::DOUBLE AS takes, no = n AND n > 1 AND e - s < 1.4::DOUBLE AND e - last_s <= 8.0::DOUBLE AS gone FROM near)"""
+
+
+@query(CUES + " SELECT id AS segment_id, no AS number, id || '.' || no AS id, round(s, 3) AS start, round(CASE WHEN takes THEN next_e ELSE e END, 3) AS \"end\", CASE WHEN takes THEN text || ' ' || next_text ELSE text END AS text FROM cut JOIN seg USING (rid) WHERE NOT gone")
 def cue_segmentation(spark, sf_dir):
     return rounded(cues.cut(timed(spark, sf_dir)), "start", "end", places=3)
 
@@ -503,7 +620,7 @@ def ass_timestamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.ass_timestamp(F.col("event_id") * F.lit(7.123)).alias("ass"))
 
 
-@query()
+@query(MATRIX_SQL + " SELECT * FROM (PIVOT (SELECT sample, grp AS era, feature, round(freq, 6) AS freq FROM dense) ON feature USING first(freq) GROUP BY sample, era)")
 def matrix_wide(spark, sf_dir):
     m = rounded(frequency_matrix(spark, sf_dir), "freq")
     names = [r.feature for r in m.select("feature", "place").distinct().orderBy("place").collect()]
@@ -512,6 +629,205 @@ def matrix_wide(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS id, '{v[0]}' AS label" for k, v in features.KINDS.items()))
 def feature_kinds(spark, sf_dir):
-    from stilus.sources import readers
-
     return readers.feature_kinds(spark).select("id", "label")
+
+
+# Letters of the test tables' alphabet as Arabic ones, some with variants that are folded, and digits as marks.
+ARABIC = ("abcdefghijklmnopqrstuvwxyz0123456789", "أبتثجحخدذرزسشصضطظعغفقكلمنىًٌٍَُِّْـٰ")
+
+
+@query(
+    f"""WITH raw AS (SELECT doc_id, translate(lower(text), '{ARABIC[0]}', '{ARABIC[1]}') AS t FROM documents),
+clean AS (SELECT doc_id, regexp_replace(t, '{normalize.MARKS}', '', 'g') AS t FROM raw),
+kept AS (SELECT doc_id, array_to_string(regexp_extract_all(translate(t, '{normalize.FOLD[0]}', '{normalize.FOLD[1]}'), '{normalize.LETTERS}'), ' ') AS folded, array_to_string(regexp_extract_all(t, '{normalize.LETTERS}'), ' ') AS plain FROM clean)
+SELECT doc_id, sha256(folded) AS folded, sha256(plain) AS plain, sha256(translate(plain, '{normalize.COMPARISON_FOLD[0]}', '{normalize.COMPARISON_FOLD[1]}')) AS comparison FROM kept"""
+)
+def arabic_normal_forms(spark, sf_dir):
+    t = F.translate(F.lower("text"), *ARABIC)
+    d = table(spark, sf_dir, "documents").select("doc_id", normalize.arabic(t).alias("folded"), normalize.arabic(t, fold=False).alias("plain"))
+    return d.select("doc_id", F.sha2("folded", 256).alias("folded"), F.sha2("plain", 256).alias("plain"), F.sha2(normalize.comparison_text(F.col("plain")), 256).alias("comparison"))
+
+
+@query()
+def seeded_sample(spark, sf_dir):
+    """Chunks from NumPy's seeded streams, which SQL does not have; tests hold them against stored values."""
+    t = texts(spark, sf_dir)
+    total = sampling.totals(t, words()).cache()
+    groups = sorted(r.group for r in total.collect())
+    chunks, _ = sampling.seeded_chunks(total, groups, WIDTH, 5, 42)
+    total.unpersist()
+    return sampling.samples(t, words(), chunks, WIDTH).select("sample", "group", "chunk", "sha256")
+
+
+PERIODS = ("عصر_اول", "عصر_ثان", "عصر_ثالث")
+
+
+def poets(spark, sf_dir):
+    t = table(spark, sf_dir, "part")
+    era = F.element_at(F.array(*map(F.lit, (*PERIODS, "القرآن_الكريم"))), (F.col("p_partkey") % 31 % 4 + 1).cast("int"))
+    return t.select(F.col("p_partkey").alias("record"), era.alias("era_ar"), F.concat(F.lit("p"), F.col("p_partkey") % 97).alias("poet_id"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("author_ar"), F.col("p_name").alias("primary_poem_title"), F.concat_ws("|", "p_name", "p_type", F.lit(" "), "p_brand").alias("poem_titles"))
+
+
+CATALOGUE = f"""
+WITH pt AS (SELECT p_partkey AS record, [{", ".join(f"'{p.replace('_', ' ')}'" for p in (*PERIODS, "القرآن_الكريم"))}][CAST(p_partkey % 31 % 4 + 1 AS INTEGER)] AS period_ar, 'p' || (p_partkey % 97) AS id, replace(p_brand, '#', ' ') AS author, p_name, p_type, p_brand FROM part),
+kept AS (SELECT * FROM pt WHERE period_ar <> 'القرآن الكريم'),
+title AS (SELECT id, t, min(record * 3 + k) AS first FROM (SELECT id, record, trim(unnest([p_name, p_type, p_brand])) AS t, unnest([0, 1, 2]) AS k FROM kept) WHERE t <> '' GROUP BY id, t),
+titles AS (SELECT id, string_agg(t, '|' ORDER BY first) AS poem_titles FROM title GROUP BY id),
+first_row AS (SELECT id, min(record) AS record, arg_min(period_ar, record) AS period_ar, arg_min(author, record) AS author, arg_min(trim(p_name), record) AS primary_poem_title FROM kept GROUP BY id)"""
+
+
+def poet_catalogue_of(spark, sf_dir):
+    periods = spark.createDataFrame([(p.replace("_", " "), f"P{k}", f"Period {k}") for k, p in enumerate(PERIODS)], "period_ar string, period string, period_name string")
+    return profile.catalogue(poets(spark, sf_dir), periods)
+
+
+@query(CATALOGUE + f" SELECT record, id, 'P' || (list_position([{', '.join(repr(p.replace('_', ' ')) for p in PERIODS)}], period_ar) - 1) AS period, author, primary_poem_title, poem_titles FROM first_row JOIN titles USING (id)")
+def poet_catalogue(spark, sf_dir):
+    return poet_catalogue_of(spark, sf_dir).select("record", "id", "period", "author", "primary_poem_title", F.array_join("poem_titles", "|").alias("poem_titles"))
+
+
+@query(CATALOGUE + " SELECT count(*) AS poets, count(DISTINCT period_ar) AS periods FROM first_row")
+def poet_catalogue_summary(spark, sf_dir):
+    return profile.catalogue_summary(poet_catalogue_of(spark, sf_dir))
+
+
+def passes(spark, sf_dir):
+    """Two passes over the same timed turns: the second is a little later and ends at other times."""
+    t = timed(spark, sf_dir).filter("size(words) > 0").withColumn("text", F.array_join("words.word", " "))
+    first = F.col("id") * 10.0
+    begun = t.select(F.transform("words", lambda w: F.struct(w["word"].alias("word"), (w["start"] + first).alias("start"), (w["end"] + first).alias("end"))).alias("words"), first.alias("start"), (first + 4.0).alias("end"), "text")
+    return begun, cues.shifted(begun, F.lit(0.12345))
+
+
+@query(
+    r"""WITH t AS (SELECT (conv_id * 1000 + turn) * CAST(10 AS DOUBLE) AS s, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS text, len(regexp_extract_all(text, '\S+')) AS n FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '\S')),
+u AS (SELECT 0 AS part, s AS start, s + 4 AS "end", text, n, s AS word FROM t WHERE s + 4 < 50000 UNION ALL SELECT 1, round_even(s + CAST(0.12345 AS DOUBLE), 3), round_even(s + 4 + CAST(0.12345 AS DOUBLE), 3), text, n, round_even(s + CAST(0.12345 AS DOUBLE), 3) FROM t WHERE s + CAST(0.12345 AS DOUBLE) >= 50000)
+SELECT CAST(row_number() OVER (ORDER BY part, start) AS INTEGER) AS id, start, "end", text, CAST(n AS INTEGER) AS words, round(word, 3) AS first_word FROM u"""
+)
+def spliced_transcript(spark, sf_dir):
+    base, review = passes(spark, sf_dir)
+    return cues.spliced(base, review, 50000.0).select("id", "start", "end", "text", F.size("words").alias("words"), F.round(F.get("words", F.lit(0))["start"], 3).alias("first_word"))
+
+
+def captions(spark, sf_dir):
+    """Turns as cues, each in one part with the cue's times or in two with their own."""
+    t = table(spark, sf_dir, "conversations").filter("text is not null")
+    key, start = F.concat_ws(".", "conv_id", "turn"), F.col("conv_id") * 100.0 + F.col("turn") * 9.0
+    c = t.select(key.alias("id"), start.alias("start"), (start + F.col("turn") % 13 + 0.5).alias("end"))
+    part = lambda a, b, said: F.struct(a.cast("double").alias("start"), b.cast("double").alias("end"), said.alias("text"))
+    none = F.lit(None).cast("double")
+    half = F.array(part(start, start + 1.25, F.concat(F.lit(" "), "role")), part(start + 1.24 + F.col("turn") % 2 * 0.1, start + F.col("turn") % 13 + 0.6, F.substring("text", 1, 120)))
+    said = F.when(F.col("turn") % 3 == 0, F.array(part(none, none, F.concat("text", F.lit(" "))))).otherwise(half)
+    return cues.translated(c, t.select(key.alias("id"), said.alias("parts")))
+
+
+CAPTIONS = r"""
+WITH t AS (SELECT conv_id || '.' || turn AS source_id, conv_id * CAST(100 AS DOUBLE) + turn * CAST(9 AS DOUBLE) AS s, conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT *, s + turn % 13 + 0.5::DOUBLE AS e FROM t),
+cap AS (SELECT conv_id, source_id, 0 AS k, s AS cue_start, e AS cue_end, s AS start, e AS "end", trim(text) AS text FROM c WHERE turn % 3 = 0
+  UNION ALL SELECT conv_id, source_id, 0, s, e, s, s + 1.25::DOUBLE, trim(role) FROM c WHERE turn % 3 <> 0
+  UNION ALL SELECT conv_id, source_id, 1, s, e, s + 1.24::DOUBLE + turn % 2 * 0.1::DOUBLE, s + turn % 13 + 0.6::DOUBLE, trim(substr(text, 1, 120)) FROM c WHERE turn % 3 <> 0)"""
+
+
+@query(CAPTIONS + ' SELECT source_id, CAST(k AS INTEGER) AS k, cue_start, cue_end, round(start, 6) AS start, round("end", 6) AS "end", text FROM cap')
+def translated_captions(spark, sf_dir):
+    return rounded(captions(spark, sf_dir), "start", "end")
+
+
+@query(
+    CAPTIONS
+    + """ SELECT source_id, CAST(k AS INTEGER) AS k, text <> '' AND NOT regexp_matches(text, '[\u0600-\u06ff<>]') AS plain, cue_start - 0.15::DOUBLE <= start AND "end" <= cue_end + 0.15::DOUBLE AS inside, start < "end" AS ordered, "end" <= 5000 AS ends, "end" - start <= 10 AS brief,
+coalesce(length(text) / CASE WHEN "end" > start THEN "end" - start END <= 32, false) AS slow, coalesce(start >= lag("end") OVER (PARTITION BY conv_id ORDER BY start, "end", k) - 0.01::DOUBLE, true) AS follows FROM cap"""
+)
+def caption_rules(spark, sf_dir):
+    c = captions(spark, sf_dir).withColumn("group", F.substring_index("source_id", ".", 1))
+    return cues.checked(c, 5000, Window.partitionBy("group").orderBy("start", "end", "k")).select("source_id", "k", *cues.RULES)
+
+
+CLOCK = "printf('%02d:%02d:%02d{0}%03d', {1} // 3600000, {1} // 60000 % 60, {1} // 1000 % 60, {1} % 1000)"
+ASS_CLOCK = "printf('%d:%02d:%02d.%02d', {0} // 360000, {0} // 6000 % 60, {0} // 100 % 60, {0} % 100)"
+
+
+@query(
+    "WITH e AS (SELECT event_id AS n, event_type || chr(10) || user_id AS text, CAST(event_id * 1000 AS BIGINT) AS a, CAST(event_id * 1000 + 750 AS BIGINT) AS b FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL) SELECT n"
+    + "".join(f", n || chr(10) || {CLOCK.format(mark, 'a')} || ' --> ' || {CLOCK.format(mark, 'b')} || chr(10) || text || chr(10) AS {kind}" for mark, kind in ((".", "vtt"), (",", "srt")))
+    + f", 'Dialogue: 0,' || {ASS_CLOCK.format('(a // 10)')} || ',' || {ASS_CLOCK.format('(b // 10)')} || ',English,,0,0,0,,' || replace(text, chr(10), '\\N') AS ass FROM e"
+)
+def caption_formats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("user_id is not null and event_type is not null")
+    start = F.col("event_id").cast("double")
+    return sinks.caption_blocks(e.select(F.col("event_id").alias("n"), start.alias("start"), (start + 0.75).alias("end"), F.concat_ws("\n", "event_type", F.col("user_id").cast("string")).alias("text")))
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS place FROM w)
+SELECT doc_id, sha256(coalesce(string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) FILTER (w = '{KWIC_WORD}'), '')) AS places FROM p GROUP BY doc_id"""
+)
+def whole_word_places(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("s"))
+    return t.select("doc_id", F.sha2(F.array_join(tx.occurrences(F.col("s"), KWIC_WORD, True), ","), 256).alias("places"))
+
+
+def written(spark: SparkSession, df: DataFrame, kind: str) -> str:
+    path = new_dir(spark, "files")
+    sinks.table(df, path, kind)
+    return path
+
+
+@query("SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, sha256(coalesce(text, '')) AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents")
+def csv_files(spark, sf_dir):
+    """The documents written as CSV and read again, quoted line ends included."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    back = readers.csv_records(spark, written(spark, d, "csv"))
+    return back.select("doc_id", F.sha2("text", 256).alias("text"), "lang", "source")
+
+
+@query("SELECT doc_id, sha256(text) AS text, lang, source, n_chars FROM documents")
+def json_line_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return readers.json_lines(spark, written(spark, d, "json"), "doc_id long, text string, lang string, source string, n_chars long").withColumn("text", F.sha2("text", 256))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def gzip_json_files(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations")
+    return readers.json_lines(spark, written(spark, d, "json.gz"), "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT r_regionkey AS sura, r_name AS name, n_nationkey AS aya, CASE WHEN n_nationkey % 5 = 0 THEN 'In the name' END AS opening, CASE WHEN n_nationkey % 5 = 0 THEN 'In the name ' ELSE '' END || n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
+def xml_verses(spark, sf_dir):
+    """Regions as chapters of XML and nations as their verses, written and read again."""
+    verse = F.concat(F.lit('<aya index="'), "n_nationkey", F.lit('" text="'), "n_name", F.lit('"'), F.when(F.col("n_nationkey") % 5 == 0, ' bismillah="In the name"').otherwise(""), F.lit("/>"))
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    suras = joined.groupBy("r_regionkey", "r_name").agg(F.array_join(F.collect_list(verse), "").alias("v"))
+    path = new_dir(spark, "xml")
+    suras.select(F.concat(F.lit('<quran><sura index="'), "r_regionkey", F.lit('" name="'), "r_name", F.lit('">'), "v", F.lit("</sura></quran>"))).repartition(suras.count() or 1).write.text(path)
+    return readers.verses(spark, path)
+
+
+@query("SELECT n_name AS text, count(*) AS lines FROM nation GROUP BY n_name UNION ALL SELECT 'second ' || n_name, 1 FROM nation")
+def text_line_files(spark, sf_dir):
+    """Files of lines with comments and blanks between; the rest is read."""
+    path = new_dir(spark, "lines")
+    table(spark, sf_dir, "nation").select(F.concat(F.lit("  # "), "n_nationkey", F.lit("\n\n"), "n_name", F.lit("\n \t\nsecond "), "n_name")).write.text(path)
+    return readers.lines(spark, path).groupBy("text").agg(F.count("*").alias("lines"))
+
+
+@query("SELECT 'n' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE upper(n_name) END AS text, CASE WHEN n_nationkey % 2 = 1 THEN CAST(n_nationkey AS DOUBLE) END AS start FROM nation")
+def translation_files(spark, sf_dir):
+    """An object of strings, and of lists of timed parts, written as one document and read again."""
+    n = table(spark, sf_dir, "nation")
+    single = F.to_json(F.array(F.struct(F.col("n_nationkey").cast("double").alias("start"), (F.col("n_nationkey") + 1).cast("double").alias("end"), F.upper("n_name").alias("text"))))
+    pair = F.concat(F.lit('"n'), "n_nationkey", F.lit('":'), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('"'), "n_name", F.lit('"'))).otherwise(single))
+    path = new_dir(spark, "translations")
+    n.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ","), F.lit("}"))).write.text(path)
+    return readers.translations(spark, path).select("id", F.explode("parts").alias("p")).select("id", "p.text", "p.start")
+
+
+@query("SELECT count(*) AS rows, true AS first, false AS second FROM nation")
+def kept_once(spark, sf_dir):
+    """A first copy is written; a second one is not, and leaves the first alone."""
+    n, path = table(spark, sf_dir, "nation"), new_dir(spark, "once")
+    first, second = sinks.once(n, path), sinks.once(n.limit(1), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("rows")).select("rows", F.lit(first).alias("first"), F.lit(second).alias("second"))
