@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stilus.functions import text as tx
+from stilus.operators.numbering import numbered
 
 
 @dataclass(frozen=True)
@@ -56,13 +57,19 @@ def shifted(segments: DataFrame, offset: Column) -> DataFrame:
     return segments.withColumns({"words": words, "start": F.col("start") + offset, "end": F.col("end") + offset})
 
 
-def spliced(segments: DataFrame, review: DataFrame, threshold: float = 915.3) -> DataFrame:
-    """Segments that end before the threshold, then those of a review from it on, rounded to milliseconds and numbered anew."""
+def spliced(segments: DataFrame, review: DataFrame, threshold: float = 915.3, reach: float = 950.0) -> DataFrame:
+    """Segments that end before the threshold, then those of a review from it on, rounded to milliseconds and numbered anew.
+
+    ``ValueError`` if the last of these does not end after ``reach``.
+    """
+    last = review.filter(F.col("start") >= threshold).agg(F.max_by("end", "start")).first()[0]
+    if last is None or last <= reach:
+        raise ValueError(f"the review must go on beyond {reach} s")
     ms = lambda c: F.bround(c, 3)
     words = F.transform("words", lambda w: F.struct(w["word"].alias("word"), ms(w["start"]).alias("start"), ms(w["end"]).alias("end")))
     base = segments.filter(F.col("end") < threshold).select(F.lit(0).alias("part"), "start", "end", "text", "words")
     tail = review.filter(F.col("start") >= threshold).select(F.lit(1).alias("part"), ms(F.col("start")).alias("start"), ms(F.col("end")).alias("end"), "text", words.alias("words"))
-    return base.unionByName(tail).withColumn("id", F.row_number().over(Window.orderBy("part", "start"))).drop("part")
+    return numbered(base.unionByName(tail), "id", "part", "start").drop("part")
 
 
 def translated(cues: DataFrame, translations: DataFrame) -> DataFrame:

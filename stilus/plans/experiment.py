@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stilus.functions import features, normalize
-from stilus.operators import cluster, distance, matrix, sampling
+from stilus.operators import cluster, distance, matrix, passages, sampling
 
 # The groups in their order, and the three chosen by default.
 GROUPS = ("Quran", "PreIslamic", "Mukhadramun", "Islamic", "Umayyad", "Abbasid", "Andalusian", "Fatimid", "Ayyubid", "Mamluk", "Ottoman", "Modern")
@@ -89,6 +89,11 @@ class Corpus:
     names: dict[str, str] = field(default_factory=dict)
     words: Callable[[Column], Column] = normalize.white_words
     normalised: Callable[[Column, Column, bool], Column] = lambda text, group, fold: F.when(group == "Quran", normalize.comparison_text(normalize.arabic(text, fold=False))).otherwise(normalize.arabic(text, fold))
+    #: Known passages (group, start_word, end_word, text, rows, poets) in their own spelling, to show samples in.
+    passages: DataFrame | None = None
+    #: Where each group's texts come from, and the group that is shown as it is spelt, without passages.
+    sources: dict[str, str] = field(default_factory=dict)
+    spelt: str = "Quran"
     #: What the feature counter does to a sample's analysed text once more.
     counted: Callable[[Column, bool], Column] = lambda text, fold: normalize.arabic(text, fold, stable=True)
 
@@ -107,6 +112,23 @@ def sampled(corpus: Corpus, c: Config) -> tuple[DataFrame, list[str]]:
     return made.withColumn("words", normalize.words(corpus.counted(F.col("text"), c.fold))), warnings
 
 
+def displayed(corpus: Corpus, c: Config, samples: DataFrame) -> dict[str, dict]:
+    """For each sample the text to show, of equal length, and the spans of it that may be quoted.
+
+    Texts of the group that is shown as it is spelt have no spans: any part may
+    be quoted. Others show passages' own spelling where these cover them, and
+    without known passages have no part to quote.
+    """
+    tokens = F.transform(F.split(normalize.nfkc(F.array_join("raw_words", "\n")), "\n"), lambda t: normalize.arabic(t, fold=False, stable=True))
+    made = samples.select("sample", "group", (F.col("chunk") * c.words).alias("start_word"), tokens.alias("tokens"), "text")
+    own = {r["sample"]: {"display_text": r.shown} for r in made.filter(F.col("group") == corpus.spelt).select("sample", F.array_join(F.filter("tokens", lambda t: t != ""), " ").alias("shown")).collect()}
+    others = made.filter(F.col("group") != corpus.spelt)
+    if corpus.passages is None:
+        return own | {r["sample"]: {"display_text": r.text, "display_spans": []} for r in others.select("sample", "text").collect()}
+    shown = passages.overlaid(others, corpus.passages.filter(F.col("group").isin(list(c.eras)))).select("sample", "display_text", "display_spans")
+    return own | {r["sample"]: {"display_text": r.display_text, "display_spans": [s.asDict() for s in r.display_spans]} for r in shown.collect()}
+
+
 def feature_matrix(samples: DataFrame, c: Config) -> DataFrame:
     """sample, group, feature, place, freq, mean, sd, z of the features that vary."""
     counts = matrix.counts(samples, c.feature, c.ngram)
@@ -125,6 +147,7 @@ def run(corpus: Corpus, settings: dict) -> dict:
     samples, warnings = sampled(corpus, c)
     samples = samples.cache()
     place = {g: k for k, g in enumerate(corpus.groups)}
+    shown = displayed(corpus, c, samples)
     docs = sorted((r.asDict() for r in samples.drop("words", "raw_words").collect()), key=lambda r: (place[r["group"]], r["chunk"]))
     if any(not d["text"] for d in docs):
         raise ValueError("A selected sample contains no Arabic tokens.")
@@ -133,17 +156,18 @@ def run(corpus: Corpus, settings: dict) -> dict:
     if len(names) < 2:
         raise ValueError("Fewer than two varying features. Choose a different feature set or corpus.")
     row = {d["sample"]: k for k, d in enumerate(docs)}
-    column = {n: k for k, n in enumerate(names)}
     x, z = np.zeros((2, len(docs), len(names)))
-    for r in standard.select("sample", "feature", "freq", "z").toLocalIterator():
-        x[row[r.sample], column[r.feature]], z[row[r.sample], column[r.feature]] = r.freq, r.z
+    packed = {v: distance.packed(standard, v) for v in ("freq", "z")}
+    for m, v in ((x, "freq"), (z, "z")):
+        for r in packed[v].collect():
+            m[row[r["sample"]]] = r.v
     empty = matrix.zero_rows(standard)
     if empty and c.distance == "cosine":
         raise ValueError(ZERO_COSINE)
     if empty:
         warnings.append(ZERO_NOTE.format(empty))
     value = "z" if c.distance == "delta" else "freq"
-    far = distance.pairwise(distance.packed(standard, value), c.distance).cache()
+    far = distance.pairwise(packed[value], c.distance).cache()
     score = distance.silhouette(far, c.target).first().silhouette
     leaves = [{"id": d["sample"], "label": f"{corpus.names.get(d['group'], d['group'])} · {d['chunk'] + 1:02}", "era": d["group"], "chunk": d["chunk"], "raw_words": c.words, "sha256": d["sha256"], "analysis_sha256": d["analysis_sha256"]} for d in docs]
     points, tree_far, tree_leaves = (z if value == "z" else x), far, leaves
@@ -177,7 +201,7 @@ def run(corpus: Corpus, settings: dict) -> dict:
         "features": [{"name": r.feature, "effect": r.effect, "focus": r.focus, "other": r.other} for r in found],
         "feature_names": names,
         "feature_matrix": x.tolist(),
-        "samples": [leaf | {"text": d["text"], "raw_text": d["raw_text"]} for leaf, d in zip(leaves, docs, strict=True)],
+        "samples": [leaf | {"source": corpus.sources.get(d["group"], ""), "text": d["text"], "raw_text": d["raw_text"], **shown[d["sample"]]} for leaf, d in zip(leaves, docs, strict=True)],
         "projection": [leaf | {"x": float(p[0]), "y": float(p[1])} for leaf, p in zip(tree_leaves, plane["coords"], strict=True)],
         "pca_features": plane["features"],
         "pca_feature_scale": plane["scale"],

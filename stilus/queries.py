@@ -706,7 +706,7 @@ SELECT CAST(row_number() OVER (ORDER BY part, start) AS INTEGER) AS id, start, "
 )
 def spliced_transcript(spark, sf_dir):
     base, review = passes(spark, sf_dir)
-    return cues.spliced(base, review, 50000.0).select("id", "start", "end", "text", F.size("words").alias("words"), F.round(F.get("words", F.lit(0))["start"], 3).alias("first_word"))
+    return cues.spliced(base, review, 50000.0, 50000.0).select("id", "start", "end", "text", F.size("words").alias("words"), F.round(F.get("words", F.lit(0))["start"], 3).alias("first_word"))
 
 
 def captions(spark, sf_dir):

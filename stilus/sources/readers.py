@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stilus.operators.numbering import numbered
+
 #: Line ends that split a text: all of Unicode's, not only the newline.
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 
@@ -26,16 +28,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_records(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
-    """A CSV with header, quoted line breaks and a byte order mark; all strings; record numbers from 2.
-
-    Record numbers follow the file's order, which a file with quoted line
-    breaks is read in by one task anyway.
-    """
+    """A CSV with header, quoted line breaks and a byte order mark; all strings; record numbers from 2 in the file's order."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns)).na.fill("")
-    numbered = rows.withColumn("_order", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("record", F.row_number().over(Window.orderBy("_order")) + 1).drop("_order")
-    return numbered.withColumnsRenamed(names or {})
+    rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns)).na.fill("")
+    return numbered(rows, "record", first=2).withColumnsRenamed(names or {})
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sampling, matrices, distances, clustering and the whole experiment."""
 
 import itertools
+import json
 import math
 from collections import Counter
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from stilus.functions import normalize
 from stilus.operators import cluster, distance, matrix, sampling
 from stilus.plans import experiment
+from stilus.sources import sinks
 
 
 def test_seeded_indices_goldens():
@@ -201,6 +203,29 @@ def test_experiment(corpus):
     assert np.allclose([f["effect"] for f in swapped["features"]], [-f["effect"] for f in back["features"]])
 
 
+def test_samples_are_shown_in_their_own_spelling(spark, corpus, tmp_path):
+    plain = experiment.run(corpus, SETTINGS)
+    shown = {s["id"]: s for s in plain["samples"]}
+    some = next(s for s in plain["samples"] if s["era"] == "Modern")
+    begin = some["chunk"] * 500
+    words = some["text"].split()
+    known = [("Modern", begin - 1, begin + 3, " ".join(["اولا", *(w[::-1] for w in words[:3])]), [7], ["p"]), ("Modern", begin + 10, begin + 12, " ".join(w[::-1] for w in words[10:12]), [8, 9], []), ("PreIslamic", 10**6, 10**6 + 1, "x", [1], [])]
+    p = spark.createDataFrame(known, "group string, start_word long, end_word long, text string, rows array<long>, poets array<string>")
+    made = experiment.Corpus(corpus.texts, passages=p, sources={"Modern": "corpus/Modern.txt"})
+    r = experiment.run(made, SETTINGS)
+    got = {s["id"]: s for s in r["samples"]}
+    expected = [w[::-1] if k < 3 or k in (10, 11) else w for k, w in enumerate(words)]
+    assert got[some["id"]]["display_text"].split() == expected and got[some["id"]]["source"] == "corpus/Modern.txt"
+    spans = got[some["id"]]["display_spans"]
+    assert [(x["csv_rows"], x["poets"]) for x in spans] == [([7], ["p"]), ([8, 9], [])]
+    assert [some["text"][x["start"] : x["end"]].split() for x in spans] == [words[:3], words[10:12]]
+    assert all("display_spans" not in s and s["display_text"] == s["raw_text"] for s in got.values() if s["era"] == "Quran")
+    assert all(s["display_spans"] == [] and s["display_text"] == s["text"] for s in shown.values() if s["era"] != "Quran")
+    assert r["feature_matrix"] == plain["feature_matrix"]
+    sinks.json_file(r, str(tmp_path / "result.json"))
+    assert json.loads((tmp_path / "result.json").read_text(encoding="utf-8")) == json.loads(json.dumps(r))
+
+
 def test_centroids_and_agreement(corpus):
     a = experiment.run(corpus, SETTINGS | {"view": "centroids"})
     assert len(a["leaves"]) == 3 and not a["branch"]["testable"] and experiment.CENTROID_NOTE in a["warnings"]

@@ -194,6 +194,8 @@ def test_splice_translate_check(spark):
     review = spark.createDataFrame([(1, 900.0, 901.0, "no", []), (2, 915.30049, 960.0, "c", [("w", 915.30049, 916.0)])], schema)
     out = cues.spliced(base, review).orderBy("id").collect()
     assert [(r.id, r.text) for r in out] == [(1, "a"), (2, "c")] and out[1].words[0].start == 915.3
+    with pytest.raises(ValueError, match="beyond"):
+        cues.spliced(base, review, reach=970.0)
     assert cues.shifted(base, F.lit(2.0)).first().end == 7.0
     c = spark.createDataFrame([("1.1", 0.0, 4.0), ("1.2", 4.0, 8.0)], "id string, start double, end double")
     parts = "array<struct<start:double,end:double,text:string>>"
