@@ -35,8 +35,13 @@ def query(oracle: str | None = None):
     return add
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("text is not null").select(F.col("lang").alias("group"), F.col("doc_id").alias("ord"), "text")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("text is not null and lang is not null").select(F.col("lang").alias("group"), F.col("doc_id").alias("ord"), "text")
+    """Documents by language, for queries that compare languages; those without one belong to no group."""
+    return documents(spark, sf_dir).filter("`group` is not null")
 
 
 def words() -> Column:
@@ -69,6 +74,7 @@ def distances(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
 TOKENS = r"""
 WITH tok AS (SELECT lang AS grp, doc_id AS ord, regexp_extract_all(lower(text), '\p{L}+') AS words FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
 tot AS (SELECT grp, CAST(sum(len(words)) AS BIGINT) AS total FROM tok GROUP BY grp)"""
+ALL_TOKENS = TOKENS.replace("lang IS NOT NULL AND ", "")
 SAMPLES = (
     TOKENS
     + f""",
@@ -337,6 +343,13 @@ def tag_counts(spark, sf_dir):
     return profile.tag_counts(profile.records(poems(spark, sf_dir))).select("tag", "occurrences")
 
 
+@query("SELECT tag, class, count(*) AS occurrences FROM (SELECT 'بحر ' || lang AS tag, 'meter' AS class FROM documents UNION ALL SELECT 'قصائد ' || source, 'topic' FROM documents UNION ALL SELECT 'قافية ' || lang, 'rhyme' FROM documents UNION ALL SELECT 'نثريه', 'form' FROM documents UNION ALL SELECT lang, NULL FROM documents) WHERE tag <> '' GROUP BY tag, class")
+def tag_classes(spark, sf_dir):
+    named = F.concat_ws(",", F.concat(F.lit("بحر "), "lang"), F.concat(F.lit("قصائد "), "source"), F.concat(F.lit(" قافية "), "lang"), F.lit("نثريه"), "lang")
+    d = table(spark, sf_dir, "documents").select(named.alias("tags"), "doc_id")
+    return profile.tag_counts(profile.records(poems(spark, sf_dir).drop("tags").join(d, F.col("record") == F.col("doc_id"))))
+
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -363,6 +376,17 @@ def cross_source_texts(spark, sf_dir):
     return profile.text_groups(poems(spark, sf_dir)).filter("authors > 1")
 
 
+@query(
+    """WITH g AS (SELECT sha256(text) AS digest, min(doc_id) AS first FROM documents WHERE trim(text) <> '' GROUP BY ALL HAVING count(DISTINCT coalesce(source, '')) > 1 ORDER BY first LIMIT 5)
+SELECT first, string_agg(doc_id || ':' || coalesce(source, ''), ',' ORDER BY doc_id) AS records FROM g JOIN documents ON sha256(text) = digest GROUP BY first"""
+)
+def cross_source_examples(spark, sf_dir):
+    p = poems(spark, sf_dir)
+    found = profile.cross_author_examples(p, profile.text_groups(p))
+    shown = F.transform("records", lambda r: F.concat_ws(":", r["record"].cast("string"), r["author"]))
+    return found.select(F.get("records", F.lit(0))["record"].alias("first"), F.array_join(shown, ",").alias("records"))
+
+
 @query("SELECT source AS author, string_agg(DISTINCT lang, ',' ORDER BY lang) AS periods FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source HAVING count(DISTINCT lang) > 1")
 def authors_in_periods(spark, sf_dir):
     rows = poems(spark, sf_dir).filter("author <> '' and period <> ''")
@@ -409,9 +433,9 @@ def version_totals(spark, sf_dir):
     return audit.totals(old, new, audit.word_pairs(old, new))
 
 
-@query(TOKENS + ", d AS (SELECT DISTINCT w AS word, translate(w, 'éèêäöü', 'eeeaou') AS folded FROM (SELECT unnest(words) AS w FROM tok)) SELECT folded, string_agg(word, ' ' ORDER BY word) AS forms FROM d GROUP BY folded HAVING count(*) > 1")
+@query(ALL_TOKENS + ", d AS (SELECT DISTINCT w AS word, translate(w, 'éèêäöü', 'eeeaou') AS folded FROM (SELECT unnest(words) AS w FROM tok)) SELECT folded, string_agg(word, ' ' ORDER BY word) AS forms FROM d GROUP BY folded HAVING count(*) > 1")
 def ambiguous_folds(spark, sf_dir):
-    w = texts(spark, sf_dir).select(F.explode(words()).alias("word"))
+    w = documents(spark, sf_dir).select(F.explode(words()).alias("word"))
     return audit.ambiguous_forms(w, F.translate("word", "éèêäöü", "eeeaou")).select("folded", F.array_join("forms", " ").alias("forms"))
 
 
@@ -441,7 +465,7 @@ def frequency_changes(spark, sf_dir):
 
 
 def streams(spark, sf_dir):
-    return texts(spark, sf_dir).select(F.col("ord").alias("group"), words().alias("tokens"))
+    return documents(spark, sf_dir).select(F.col("ord").alias("group"), words().alias("tokens"))
 
 
 def known(spark, sf_dir):
@@ -450,7 +474,7 @@ def known(spark, sf_dir):
 
 
 MATCHED = r"""
-WITH tok AS (SELECT doc_id AS grp, regexp_extract_all(lower(text), '\p{L}+') AS words FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+WITH tok AS (SELECT doc_id AS grp, regexp_extract_all(lower(text), '\p{L}+') AS words FROM documents WHERE text IS NOT NULL),
 one AS (SELECT grp, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM tok),
 pos AS (SELECT grp, CAST(i - 1 AS INTEGER) AS word, CAST(sum(length(w) + 1) OVER (PARTITION BY grp ORDER BY i) - length(w) - 1 AS INTEGER) AS start FROM one),
 item AS (SELECT item_id AS id, array_to_string(k, ' ') AS key, CAST(len(k) AS INTEGER) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS k FROM benchmark WHERE text IS NOT NULL)),
@@ -555,7 +579,7 @@ KWIC_WORD = "in"
 
 
 @query(
-    TOKENS.replace("doc_id AS ord", "doc_id")
+    ALL_TOKENS.replace("doc_id AS ord", "doc_id")
     + f""", t AS (SELECT doc_id, array_to_string(words, ' ') AS s FROM tok),
 h AS (SELECT *, instr(' ' || s || ' ', ' {KWIC_WORD} ') - 1 AS a FROM t WHERE contains(' ' || s || ' ', ' {KWIC_WORD} ')),
 b AS (SELECT *, a + {len(KWIC_WORD)} AS z, substr(s, 1, greatest(a - 69, 0)) AS head, substr(s, a + {len(KWIC_WORD)} + 71) AS tail FROM h),
@@ -563,12 +587,40 @@ c AS (SELECT *, CASE WHEN a > 70 AND contains(head, ' ') THEN length(head) - ins
 SELECT doc_id, CASE WHEN l > 0 THEN '… ' ELSE '' END || substr(s, l + 1, a - l) AS before, substr(s, a + 1, z - a) AS match, substr(s, z + 1, r - z) || CASE WHEN r < length(s) THEN ' …' ELSE '' END AS after FROM c"""
 )
 def kwic_first_match(spark, sf_dir):
-    t = texts(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.array_join(words(), " ").alias("s"))
+    t = documents(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.array_join(words(), " ").alias("s"))
     at = F.locate(f" {KWIC_WORD} ", F.concat(F.lit(" "), "s", F.lit(" "))) - 1
     hit = t.withColumn("a", at).filter("a >= 0")
     return hit.select("doc_id", tx.excerpt(F.col("s"), F.col("a"), F.col("a") + len(KWIC_WORD)).alias("e")).select("doc_id", "e.*")
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, array_to_string(words, ' ') AS s FROM ({ALL_TOKENS.replace("doc_id AS ord", "doc_id")} SELECT * FROM tok)),
+h AS (SELECT *, instr(' ' || s || ' ', ' {KWIC_WORD} ') - 1 AS a FROM t WHERE contains(' ' || s || ' ', ' {KWIC_WORD} ')),
+b AS (SELECT *, a + {len(KWIC_WORD)} AS z, greatest(a - 20, 0) AS low, least(a + 30, length(s)) AS high FROM h)
+SELECT doc_id, CASE WHEN low > 0 THEN '… ' ELSE '' END || substr(s, low + 1, a - low) AS before, substr(s, z + 1, high - z) || CASE WHEN high < length(s) THEN ' …' ELSE '' END AS after FROM b"""
+)
+def kwic_clipped(spark, sf_dir):
+    """The same where only 20 characters before the word and 30 from it on may be quoted."""
+    t = documents(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.array_join(words(), " ").alias("s"))
+    a = F.locate(f" {KWIC_WORD} ", F.concat(F.lit(" "), "s", F.lit(" "))) - 1
+    hit = t.withColumn("a", a).filter("a >= 0")
+    low, high = F.greatest(F.col("a") - 20, F.lit(0)), F.least(F.col("a") + 30, F.length("s"))
+    return hit.select("doc_id", tx.excerpt(F.col("s"), F.col("a"), F.col("a") + len(KWIC_WORD), low, high).alias("e")).select("doc_id", "e.before", "e.after")
+
+
+@query("""SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS html, sha256('"' || replace(text, '"', '""') || '"') AS cell FROM documents WHERE text IS NOT NULL""")
+def escaped_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    return d.select("doc_id", F.sha2(tx.html_escaped(F.col("text")), 256).alias("html"), F.sha2(tx.csv_cell(F.col("text")), 256).alias("cell"))
+
+
+@query(counts_sql(WORDGRAMS.format(n=2)) + TOP_SQL + """ SELECT replace(feature, ' ', '␣') AS label FROM voc UNION ALL SELECT k || ' letters' FROM range(1, 15) r(k) UNION ALL SELECT '15+ letters'""")
+def feature_labels(spark, sf_dir):
+    s = even_samples(spark, sf_dir)
+    grams = matrix.vocabulary(matrix.counts(s, "wordgrams", 2), "wordgrams", TOP).select(features.label(F.col("feature"), "wordgrams").alias("label"))
+    return grams.union(matrix.vocabulary(matrix.counts(s, "length"), "length", TOP).select(features.label(F.col("feature"), "length")))
+
+
 @query(f"SELECT doc_id, CAST(len(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 3) = 'the')) AS INTEGER) AS n FROM (SELECT doc_id, text AS s FROM documents WHERE text IS NOT NULL)")
 def feature_occurrences(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.size(tx.occurrences(F.col("text"), "the", False)).alias("n"))
