@@ -9,8 +9,10 @@ only the texts that all before it have passed.
 from __future__ import annotations
 
 import time
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,33 @@ def _table(*ranges: str) -> np.ndarray:
 
 _SYMBOL = _table(*"#*$%&|<>")
 _UPPER, _LOWER = _table("AZ"), _table("az")
-_LETTER = _UPPER | _LOWER
-_LETTER[0xC3:0xF5] = True  # the first byte of a letter beyond ASCII, mostly
 _WINDOW = 8
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point, whether it is a letter or a mark on one, by its Unicode category."""
+    return np.array([unicodedata.category(chr(k))[0] in "LM" for k in range(0x110000)])
+
+
+def n_letters(slab: Slab) -> np.ndarray:
+    """Letters and the marks on them, of any script."""
+    data = slab.data
+    found = (_UPPER | _LOWER)[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        first = data[lead].astype(np.int32)
+        more = np.where(first >= 0xF0, 3, np.where(first >= 0xE0, 2, 1))
+        point = first & (0x3F >> more)
+        for k in (1, 2, 3):
+            own = more >= k
+            point[own] = point[own] << 6 | data[lead[own] + k] & 0x3F
+        found[lead] = _letters()[point]
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(found, out=sums[1:])
+    return sums[slab.offsets[1:]] - sums[slab.offsets[:-1]]
+
+
 def n_words(slab: Slab) -> np.ndarray:
     return np.diff(slab.words[2])
 
@@ -125,9 +149,9 @@ def shape_rules() -> list[Rule]:
         Rule("symbols", lambda s: n_symbols(s) > 0.1 * n_words(s)),
         Rule("repeated lines", lambda s: (d := n_dup_lines(s)) * (d > 2) > 0.3 * np.diff(s.lines[2])),
         Rule("stuttering", lambda s: n_stutters(s) > 0.3 * n_words(s)),
-        Rule("word length", lambda s: (m := _share(word_chars(s), n_words(s))) * (m < 2) + (m > 20) > 0),
-        Rule("capitals", lambda s: _share(s.count(_UPPER), s.count(_LETTER)) > 0.5),
-        Rule("few letters", lambda s: _share(s.count(_LETTER), n_chars(s)) < 0.4),
+        Rule("word length", lambda s: (m := _share(word_chars(s), n_words(s))) * (m < 1.25) + (m > 20) > 0),
+        Rule("capitals", lambda s: _share(s.count(_UPPER), n_letters(s)) > 0.5),
+        Rule("few letters", lambda s: _share(n_letters(s), n_chars(s)) < 0.4),
         Rule("shouting", lambda s: s.count(_table("!")) > 0.3 * n_words(s)),
     ]
 

@@ -88,7 +88,7 @@ ln AS (SELECT id, x FROM (SELECT id, unnest(string_split(text, chr(10))) AS x FR
 dup AS (SELECT id, count(*) - count(DISTINCT x) AS n FROM ln GROUP BY id),
 f AS (SELECT doc_id, text, words, len(words) AS n_words, list_sum(list_transform(words, lambda x: length(x))) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-    len(string_split(text, chr(10))) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS letters,
+    len(string_split(text, chr(10))) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(text, '[^\p{L}\p{M}]', '', 'g')) AS letters,
     length(regexp_replace(text, '[^!]', '', 'g')) AS bangs,
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
   FROM w LEFT JOIN dup USING (id) LEFT JOIN cov USING (id)),
@@ -96,7 +96,7 @@ s AS (SELECT *, regexp_extract_all(low, '[^\x20\x09-\x0D]+') AS lw FROM f),
 v AS (SELECT *, len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) AS stutters, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_symbols > 0.1 * n_words OR n_dup_lines > 2 AND n_dup_lines > 0.3 * n_lines OR stutters > 0.3 * n_words
-    OR word_chars / n_words < 2 OR word_chars / n_words > 20 OR upper_ > 0.5 * greatest(letters, 1) OR letters < 0.4 * strlen(text) OR bangs > 0.3 * n_words) AS kept
+    OR word_chars / n_words < 1.25 OR word_chars / n_words > 20 OR upper_ > 0.5 * greatest(letters, 1) OR letters < 0.4 * greatest(length(text), 1) OR bangs > 0.3 * n_words) AS kept
 FROM v"""
 
 
