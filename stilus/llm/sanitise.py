@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stilus.functions.arrays import bound, running_totals
 from stilus.llm.common import stage, text_of
 
 #: Texts in which a term must stand with an entity.
@@ -26,9 +27,6 @@ DISCLOSURE = 0.9
 BROADCAST = 16 << 20
 #: A word from its first letter or digit to its last.
 TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
-#: Matches whose positions are added up together.
-TOGETHER = 256
-_MATCHES = "array<struct<match:string,start:bigint,end:bigint>>"
 _SPANS = "array<struct<kind:string,match:string,start:bigint,end:bigint>>"
 
 
@@ -75,26 +73,16 @@ ENTITIES = [
 def matches(text: Column, pattern: Column) -> Column:
     """All matches, leftmost and not overlapping: array of (match, start, end).
 
-    Lengths of gaps and matches add up to positions, some matches at a time,
-    so that very many matches in one text are not copied again for each.
+    Lengths of gaps and matches add up to positions.
     """
     cells = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
-    none, nothing = F.expr(f"cast(array() as {_MATCHES})"), F.expr(f"cast(array() as array<{_MATCHES}>)")
-
-    def step(done: Column, cell: Column) -> Column:
-        start = done["at"] + F.length(cell["gap"])
-        end = start + F.coalesce(F.length(cell["match"]), F.lit(0))
-        new = F.array_append(done["out"], F.struct(cell["match"].alias("match"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(cell["match"].isNotNull(), new).otherwise(done["out"]).alias("out"))
-
-    def block(done: Column, k: Column) -> Column:
-        own = F.aggregate(F.slice(cells, k * TOGETHER + 1, F.lit(TOGETHER)), F.struct(done["at"].alias("at"), none.alias("out")), step)
-        return F.struct(own["at"].alias("at"), F.array_append(done["out"], own["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
-    few = F.aggregate(cells, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda x: x["out"])
-    blocks = F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / TOGETHER).cast("int"))
-    return F.when(F.size(cells) <= TOGETHER, few).otherwise(F.aggregate(blocks, zero, block, lambda x: F.flatten(x["out"])))
+
+    def placed(cells: Column) -> Column:
+        ends = running_totals(F.transform(cells, lambda c: (F.length(c["gap"]) + F.coalesce(F.length(c["match"]), F.lit(0))).cast("long")))
+        all_ = F.zip_with(cells, ends, lambda c, end: F.struct(c["match"].alias("match"), (end - F.length(c["match"])).alias("start"), end.alias("end")))
+        return F.filter(all_, lambda m: m["match"].isNotNull())
+
+    return bound(cells, placed)
 
 
 def entities(text: Column) -> Column:
