@@ -55,6 +55,13 @@ def _vantage(unit: np.ndarray) -> np.ndarray:
     return unit[np.argmin(unit @ unit.mean(axis=0))]
 
 
+def _gap(far: np.ndarray) -> float:
+    """Where to cut sorted distances: in the widest gap among the middle ones, so that clusters stay whole."""
+    low, high = int(0.3 * (len(far) - 1)), max(int(0.7 * (len(far) - 1)), 1)
+    at = low + int(np.argmax(np.diff(far[low : high + 1]))) if high > low else low
+    return float((far[at] + far[min(at + 1, len(far) - 1)]) / 2)
+
+
 class Coarse:
     """Halves of a sample, again and again: which shard a vector falls into, and which shards may be near enough."""
 
@@ -69,7 +76,7 @@ class Coarse:
         if shards > 1 and len(unit) > 1:
             point = _vantage(unit)
             far = distance(unit @ point)
-            radius = float(np.median(far))
+            radius = _gap(np.sort(far))
             close = far <= radius
             if not close.all():
                 self.nodes[at] = point, radius, self._build(unit[close], (shards + 1) // 2), self._build(unit[~close], shards // 2)
