@@ -44,6 +44,28 @@ def test_tree_prunes_and_keeps_recall():
         assert [j for j, _ in best(list(enumerate(x)), (i, x[i]), 4)] == found[i].tolist()
 
 
+def test_shards_are_skipped_and_nothing_is_lost(spark, monkeypatch):
+    """Clustered vectors in many shards, one of them with a third of all rows: exact, and few vectors are looked at."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24))
+    x = centres[np.arange(3000) % 40] + rng.normal(size=(3000, 24)) * 0.02
+    x[2000:] = x[0]
+    monkeypatch.setattr(vptree, "SHARD", 100)
+    monkeypatch.setattr(vptree, "BLOCK", 16)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
+    found = {}
+    for r in vptree.nearest(df, df.filter("id % 100 = 1"), 3, factor=1).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {i: [j for j, _ in best(list(enumerate(x)), (i, x[i]), 3)] for i in range(1, 3000, 100)}
+    tree = vptree.Tree(np.arange(2000), x[:2000])
+    tree.search(np.arange(0, 2000, 20), x[:2000:20], 3, 1.0)
+    assert tree.seen < 0.3 * 100 * 2000
+    unit = vptree._unit(x[:2000])
+    coarse = vptree.Coarse(unit, 20)
+    who, _ = coarse.within(unit[:100], np.full(100, 0.2), 1.0)
+    assert len(who) < 0.6 * 100 * coarse.shards
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = [[1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [0.0, 1.0], None, [0.0, 0.0], [nan, 1.0], [inf, 1.0], [1.0, None], [1.0], []]

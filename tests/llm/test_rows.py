@@ -16,7 +16,7 @@ import corpus_pipeline
 from stilus.llm import cascade, kneser_ney, langid, mixing, packing, queries, sanitise, urltree
 from stilus.llm.common import stage
 
-from .conftest import WORDS, lowered
+from .conftest import LINE, WORDS, lowered
 
 
 def brute_scores(texts):
@@ -123,6 +123,13 @@ def test_mix_with_full_and_null_sources(spark):
     check_mix(mixing.shares(df).collect(), made)
 
 
+def test_mix_without_ids_comes_near_the_target(spark):
+    made = [(None if k % 2 else k, "ab"[k % 2], f"{k} " + "w " * (k % 5)) for k in range(600)]
+    df = spark.createDataFrame(made, "doc_id long, source string, text string")
+    for r in mixing.shares(df).groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 6
+
+
 def test_odd_mix(odd, empty):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns and mixing.shares(empty).collect() == [] and mixing.mixed(empty).collect() == []
@@ -177,10 +184,21 @@ PROSE = {
 }
 
 
+PROSE |= {
+    "Cyrillic": "сегодня утром жители деревни собрались на берегу реки и говорили о новом мосте потому что старый мост упал во время дождя и никто не мог перейти",
+    "Greek": "σήμερα το πρωί οι κάτοικοι του χωριού μαζεύτηκαν στην όχθη του ποταμού και μίλησαν για τη νέα γέφυρα γιατί η παλιά έπεσε στη βροχή πέρυσι",
+    "Hebrew": "הבוקר נפגשו אנשי הכפר על שפת הנהר ודיברו על הגשר החדש כי הגשר הישן נפל בגשם ואיש לא יכול היה לעבור אל השוק",
+    "Tamil": "இன்று காலை கிராம மக்கள் ஆற்றின் கரையில் கூடி புதிய பாலம் பற்றி பேசினர் ஏனெனில் பழைய பாலம் மழையில் இடிந்து விழுந்தது அதனால் யாரும் கடக்க முடியவில்லை என்று அவர்கள் கூறினார்கள் பின்னர் வீடு திரும்பினர்",
+    "Han": "今天 早上 村里 的 人们 聚 在 河边 谈论 新 的 大桥 因为 旧 的 大桥 在 去年 的 雨季 中 倒塌 了 没有 人 能够 过河",
+    "Kana": "けさ むらの ひとびとは かわの きしに あつまって あたらしい はしに ついて はなしました なぜなら ふるい はしは あめで おちて だれも わたる ことが できなかった からです それから みんなは いえに かえって ゆうごはんを たべました",
+    "Latin": "Éste ano os moradores da aldeia reuniram-se à beira do rio e falaram da nova ponte porque a velha caiu com a chuva",
+}
+
+
 def test_prose_of_any_script_is_kept(spark):
-    digits = " ".join(str(k) * 5 for k in range(10, 40))
-    df = spark.createDataFrame([*PROSE.items(), ("digits", digits)], "doc_id string, text string")
-    assert {r.doc_id: r.kept for r in cascade.measured(df).collect()} == dict.fromkeys(PROSE, True) | {"digits": False}
+    junk = {"digits": " ".join(str(k) * 5 for k in range(10, 40)), "dashes": "— ” … € ₤ " * 20, "faces": "😀😀 😎😎 " * 20}
+    df = spark.createDataFrame([*PROSE.items(), *junk.items()], "doc_id string, text string").withColumn("lang", F.lit(1))
+    assert len(PROSE) > 10 and {r.doc_id: r.kept for r in cascade.measured(df).collect()} == dict.fromkeys(PROSE, True) | dict.fromkeys(junk, False)
     assert {r.doc_id for r in cascade.passing(df).collect()} == set(PROSE)
 
 
@@ -265,6 +283,61 @@ def test_deep_branches_are_told_apart(spark):
     assert all(got[k].verdict == ("block" if k % 4 == 0 else "allow") for k in range(1010))
 
 
+def brute_templates(pages):
+    """host and key to (template, purity), by plain recursion over the labelled leaves."""
+    leaves = {}
+    for host, key, label in pages:
+        x = leaves.setdefault((host, key), [0, 0])
+        x[0] += label is not None
+        x[1] += bool(label)
+    labels, bad = (sum(x[k] for x in leaves.values()) for k in (0, 1))
+    overall, w, z, out = (bad + 1) / (labels + 2), urltree.WEIGHT, urltree.APART, {}
+
+    def grow(nodes, template, purity, everything, k):
+        parts = {}
+        for (host, key), x in nodes.items():
+            pieces = key.split("/")
+            parts.setdefault(pieces[k] if k < len(pieces) else "", {})[host, key] = x
+        groups = {}
+        for part, own in parts.items():
+            n, b = (sum(x[i] for x in own.values()) for i in (0, 1))
+            apart = n > 0 and abs(b / n - purity) > z * math.sqrt(purity * (1 - purity) / n)
+            groups.setdefault(part if part == "" or apart else "*", {}).update(own)
+        for part, own in groups.items():
+            n, b = (sum(x[i] for x in own.values()) for i in (0, 1))
+            p = purity if n == everything else (b + w * purity) / (n + w)
+            name, good = template + ("/" + part if part else ""), n - b
+            if part and b > 0 and good > 0 and (b * (1 - p) > z * z * p or good * p > z * z * (1 - p)):
+                grow(own, name, p, n, k + 1)
+            else:
+                for host, key in own:
+                    rest = len(key.split("/")) - k - 1
+                    out[host, key] = name + ("" if rest <= 0 else "/*" if rest == 1 else "/**"), p
+
+    for host in {h for h, _ in leaves}:
+        own = {x: v for x, v in leaves.items() if x[0] == host}
+        n, b = (sum(x[i] for x in own.values()) for i in (0, 1))
+        grow(own, "", (b + w * overall) / (n + w), n, 0)
+    return out
+
+
+def test_template_verdicts(spark):
+    rng, made = np.random.default_rng(3), []
+    for k in range(3000):
+        host, deep = f"h{k % 3}.org", rng.integers(1, 5)
+        path = "/".join(str(rng.choice(["news", "spam", "shop", "x"])) for _ in range(deep)) + (f"/{k}.html" if k % 2 else "")
+        rate = 0.9 if "spam" in path and host != "h2.org" else 0.1
+        made.append((k, f"http://{host}/{path}", bool(rng.random() < rate) if rng.random() < 0.6 else None))
+    got = urltree.judged(spark.createDataFrame(made, "page_id long, url string, bad boolean"), []).collect()
+    general = lambda x: re.sub(r"^.*?(\.[A-Za-z]{1,5})?$", lambda m: "*" + (m[1] or ""), x) if re.search("[0-9]", x) else x
+    keys = {k: (place(u)[0], "/".join(general(x) for x in place(u)[1].split("/") if x)) for k, u, _ in made}
+    expected = brute_templates([(*keys[k], label) for k, _, label in made])
+    assert len({t for t, _ in expected.values()}) > 10
+    for r in got:
+        template, purity = expected[keys[r.page_id]]
+        assert r.template == template and r.purity == pytest.approx(purity) and r.verdict == ("block" if purity > urltree.REJECT else "allow")
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -321,6 +394,46 @@ def test_revealing_terms_of_equal_signatures_other_lines_and_digits(spark):
     assert got[0].startswith(" \nthe cat sat on the mat\n") and "<[EMAIL]>" in got[0]
 
 
+def test_disclosure(spark, docs):
+    """All candidate terms and their disclosure against plain counting, and every span of theirs."""
+    term = re.compile(r"[^\W_](?:[^\x20\x09-\x0D]*[^\W_])?").findall
+    base = docs.select("doc_id", "text").limit(150).collect()
+    made = [(r.doc_id, (r.text or "") + (f"\nVorgang K{r.doc_id % 4}-x frage chef{r.doc_id % 3}@firma.de" if r.doc_id % 5 == 0 else "")) for r in base]
+    made += [(10_000 + k, f"wegen K{k % 4}-X, und Firma") for k in range(6)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    found = [(t, {f"{k}:{t[a:b].lower()}" for k, a, b in spans(t)}, set(term(t.lower())), {w for k, a, b in spans(t) for w in term(t[a:b].lower())}) for _, t in made]
+    n, expected = math.log2(len(made) + 1), {}
+    for e in set().union(*(x[1] for x in found)):
+        n_e = sum(e in x[1] for x in found)
+        if n_e < 3:
+            continue
+        for w in set().union(*(x[2] - x[3] for x in found if e in x[1])):
+            n_te, n_t = sum(e in x[1] and w in x[2] - x[3] for x in found), sum(w in x[2] for x in found)
+            told = 1 - math.log2((n_t + 1) / n_te) / (n - math.log2(n_e))
+            if n_te >= 3 and told >= 0.5:
+                expected[e, w] = told
+    texts = df.withColumn("row", F.xxhash64("doc_id", "text"))
+    with_any = texts.select("doc_id", "text", sanitise.entities(F.col("text")).alias("entities")).filter(F.size("entities") > 0)
+    rated, _ = sanitise.revealing(with_any, texts, disclosure=0.5)
+    got = {(r.entity, r.term): r.disclosure for r in rated.collect()}
+    assert expected and got.keys() == expected.keys() and all(got[x] == pytest.approx(v) for x, v in expected.items())
+    terms = {w for _, w in expected}
+    marked = {r.doc_id: [(s.start, s.end) for s in r.terms] for r in sanitise.found_spans(df, disclosure=0.5).collect()}
+    assert any(marked.values())
+    for i, t in made:
+        for a, b in marked[i]:
+            assert t[a:b].lower() in terms
+        for m in re.finditer(r"[^\W_](?:[^\x20\x09-\x0D]*[^\W_])?", t):
+            if m[0].lower() in terms and not any(a < m.end() and m.start() < b for _, a, b in spans(t)):
+                assert any(a <= m.start() and m.end() <= b for a, b in marked[i])
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{k}@b.co" if k % 2 else "+1 202 555 0100" for k in range(3000))
+    r = sanitise.digests(sanitise.found_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans(text)) and r.n_email == 1500
+
+
 def test_languages(spark, sf_dir):
     truth = {r.page_id: re.search(r"/(en|de|fr|es)/", r.url)[1] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = queries.op10_language_id(spark, sf_dir).collect()
@@ -338,8 +451,56 @@ def test_other_evidence_decides_without_text(spark, docs, empty):
     got = {r.page_id: r for r in langid.identify(df, languages, model).collect()}
     assert got[100].lang == "de" and got[102].lang == "de" and got[102].declared == "de" and 0 < got[101].confidence <= 1
     assert langid.identify(df.filter("false"), languages, model).collect() == []
-    with pytest.raises(ValueError, match="languages"):
-        langid.fit(empty)
+    nothing, none = langid.fit(empty)
+    assert nothing == [] and {(r.page_id, r.text_lang, r.lang) for r in langid.identify(df, nothing, none).collect()} >= {(102, None, "de"), (101, None, None)}
+
+
+def test_many_languages(spark):
+    words = {f"l{k:02}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in "abcdefghij") for k in range(80)}
+    languages, model = langid.fit(spark.createDataFrame(list(words.items()), "lang string, text string"))
+    pages = spark.createDataFrame([(k, "http://h.org/", f"<p>{t}</p>") for k, t in words.items()], "page_id string, url string, html string")
+    assert languages == sorted(words) and all(r.text_lang == r.page_id for r in langid.identify(pages, languages, model).collect())
+
+
+def test_declared_language_and_shown_text():
+    said = lambda x: (m := langid._DECLARED.search(langid.shown(x))) and m[1]
+    assert said("<html data-lang='fr' xml:lang=\"es\" lang=de>") == "de" and said('<HTML title=" lang=fr >" LANG = "en-US">') == "en"
+    assert said("<!-- <html lang='fr'> --><html>") is None and said("<html data-lang='fr'>") is None and said("<htmlx lang='fr'>") is None
+    assert langid.shown("a<script>b</script>c<!-- d --><style x>e</style >f<script>g").replace(" ", "") == "acf<script>g"
+    for many in ("<script " * 60000, "<!-- " * 60000, "<" * 200000, '<html a="' * 30000):
+        assert said(many) is None and len(langid._TAG.sub("", langid.shown(many))) > 0
+
+
+def test_posteriors(spark, docs):
+    """The fused evidence against its formula, page by page."""
+    languages, model = langid.fit(docs)
+    rows = docs.filter("lang is not null and text is not null").orderBy("doc_id").limit(40).collect()
+    made = [(k, f"http://{'ab'[k % 2]}.{'xy'[k % 3 % 2]}.{('de', 'org')[k % 2]}/{k}", f"<html{' lang=' + r.lang if k % 2 else ''}><p>{' '.join(r.text.split()[:6]).replace('<', ' ')}</p></html>") for k, r in enumerate(rows)]
+    made.append((99, "http://a.x.de/", ""))
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.identify(df, languages, model).collect()}
+    seen = {}
+    for k, url, page in made:
+        data = np.frombuffer(__import__("html").unescape(re.sub("<[^<>]*>", " ", page)).encode().lower(), np.uint8).astype(np.uint32)
+        h = (data[:-2] * np.uint32(0x9E3779B1) + data[1:-1] * np.uint32(0x85EBCA77) + data[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(17) if len(data) > 2 else np.zeros(0, int)
+        text = model[:, h].sum(axis=1) * langid.TEMPER
+        host = place(url)[0]
+        declared = re.search("lang=([a-z]+)", page)
+        p = np.exp(text - text.max())
+        seen[k] = text - text.max(), p / p.sum(), host, ".".join(host.split(".")[-2:]), host.split(".")[-1], declared and declared[1]
+    all_p = sum(x[1] for x in seen.values())
+    n, trust = all_p.sum(), langid.TRUST
+    for k, (text, p, *own) in seen.items():
+        def others(which, k=k, own=own):
+            same = [x for j, x in seen.items() if j != k and x[2 + which] == own[which]]
+            return sum((x[1] for x in same), np.zeros(len(languages))), len(same)
+        overall = (all_p + 1) / (n + len(languages))
+        (h, nh), (d, nd), (s, ns), (c, nc) = (others(x) for x in range(4))
+        prior = (h + trust * (d + trust * overall) / (nd + trust)) / (nh + trust)
+        lift = lambda sums, m: (sums + trust * (m + 1) / n) / (all_p + trust) / ((m + 1) / n)
+        score = text + np.log(prior) + np.log(lift(s, ns)) + (np.log(lift(c, nc)) if own[3] else 0)
+        p = np.exp(score - score.max())
+        assert got[k].lang == languages[int(score.argmax())] and got[k].confidence == pytest.approx(1 / p.sum(), rel=1e-6)
 
 
 def test_pipeline(spark, docs, sf_dir):
@@ -370,6 +531,22 @@ def test_pipeline(spark, docs, sf_dir):
     assert {i: round(n, 6) for i, n in packed.items()} == dict(copies)
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, empty, sf_dir):
+    long = " ".join(f"w{k}" for k in range(30))
+    near = long.replace("w29", "x")
+    more = [(70, long), (70, long), (None, long), (71, near), (None, near), (70, "other words than these " * 3 + "here"), (None, None), (None, None)]
+    made = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True).withColumn("key", F.lit(1)).cache()
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, sf_dir).collect() == []
+        out = step(spark, made, sf_dir)
+        assert name == "pack" or out.columns == made.columns
+        kept = [(r.doc_id, r.text) for r in out.collect()] if name != "pack" else [r.doc_id for r in out.filter("start = 0").collect()]
+        assert name not in ("mix", "pack") or len(kept) >= made.count() // 2
+        if name == "near_duplicates":
+            assert [x for x in kept if (x[1] or "").startswith("w0")] == [(70, long)]
+            assert sum(t is None for _, t in kept) == 2 and kept.count((5, LINE)) == 1 and (8, LINE.replace("fox", "cat")) in kept
+
+
 
 
 def test_quality_sql(spark, sf_dir):
