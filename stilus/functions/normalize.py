@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Marks that are removed, letters that are kept, and letters that are folded.
-MARKS = r"[ؐ-ًؚ-ٰٟۖ-ۭـ]"
-LETTERS = r"[ء-غف-يٮ-ٯٱ-ۓ]+"
+MARKS = "[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640]"
+LETTERS = "[\u0621-\u063a\u0641-\u064a\u066e-\u066f\u0671-\u06d3]+"
 FOLD = ("أإآٱى", "ااااي")
 COMPARISON_FOLD = ("أإآٱىةئؤ", "اااايهيو")
 PROFILE_LETTERS = "أإآٱىةئؤء"

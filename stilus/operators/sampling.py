@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 #: Texts of one group whose positions a task sums up together.
 BLOCK = 4096
 
+# An error that clients know, and two warnings that go with results.
+NO_CHUNKS = "{} has no complete chunks at this size. Reduce words per sample."
+FEW_CHUNKS = "{}: only {} complete non-overlapping chunks available; requested {}."
+ONE_CHUNK = "{}: one sample cannot establish within-group cohesion; its silhouette contribution is zero."
+
 
 def located(texts: DataFrame, words: Column) -> DataFrame:
     """(group, ord, ...) with n, the number of words, and begin, the words of the group before the text.
@@ -64,11 +69,11 @@ def seeded_chunks(total: DataFrame, groups: Sequence[str], width: int, count: in
             continue
         available = have.get(group, 0)
         if not available:
-            raise ValueError(f"{group} has no complete chunks at this size. Reduce words per sample.")
+            raise ValueError(NO_CHUNKS.format(group))
         if available < count:
-            warnings.append(f"{group}: only {available} complete non-overlapping chunks available; requested {count}.")
+            warnings.append(FEW_CHUNKS.format(group, available, count))
         if min(available, count) == 1:
-            warnings.append(f"{group}: one sample cannot establish within-group cohesion; its silhouette contribution is zero.")
+            warnings.append(ONE_CHUNK.format(group))
         rows += [(group, c) for c in seeded_indices(seed, ordinal, available, count)]
     return total.sparkSession.createDataFrame(rows, "group string, chunk long"), warnings
 

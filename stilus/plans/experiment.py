@@ -20,13 +20,16 @@ VIEWS = ("samples", "centroids")
 # Ranges of whole-number settings; n-grams of characters go up to 7, others to 5.
 RANGES = {"top": (20, 1000), "words": (500, 7000), "samples": (2, 10), "seed": (0, 999999)}
 
+# Two errors that clients know.
+TOO_FEW = "Choose at least two distinct corpus groups."
+WARD = "Ward linkage requires Euclidean distance."
+
 # Texts of the notes that go with every result.
 NOTES = (
     "Clustering measures textual similarity. Genre, topic, spelling and corpus selection can influence group separation.",
     "Feature contrasts describe this selected corpus; they are not causal explanations or significance tests. Silhouette compares the focus group with the remaining selected groups pooled together on sample distances, not inferred clusters.",
 )
 CENTROID_NOTE = "Each tree leaf is an era centroid. A single leaf cannot establish within-era cohesion; switch to sample leaves to test a separate branch."
-ZERO_COSINE = "Cosine distance is undefined for samples with no selected features. Increase vocabulary size, choose shorter n-grams, or choose Delta/Euclidean distance."
 ZERO_NOTE = "{} samples contain none of the retained features. Their zero frequency rows are included; increase top features or choose shorter n-grams for broader coverage."
 
 
@@ -49,30 +52,30 @@ class Config:
 def validate(settings: dict, groups: Sequence[str] = GROUPS) -> Config:
     """Settings completed with defaults; ``ValueError`` says what is wrong."""
     if not isinstance(settings, dict):
-        raise ValueError("Experiment settings must be an object.")
+        raise ValueError("settings must be a dictionary")
     known = {f.name for f in fields(Config)}
-    if set(settings) - known - {"dataset"}:
-        raise ValueError("Unknown experiment setting.")
+    if strange := set(settings) - known - {"dataset"}:
+        raise ValueError(f"no such settings: {', '.join(sorted(map(str, strange)))}")
     if settings.get("dataset", "eras") != "eras":
-        raise ValueError("Invalid dataset.")
+        raise ValueError("dataset can only be eras")
     base = Config() if set(CHOSEN) <= set(groups) else Config(eras=tuple(groups[:3]), target=groups[0])
     c = replace(base, **{k: v for k, v in settings.items() if k in known})
     choices = {"feature": features.KINDS, "distance": METRICS, "linkage": cluster.METHODS, "view": VIEWS, "target": groups}
     for name, allowed in choices.items():
         value = getattr(c, name)
         if not isinstance(value, str) or value not in allowed:
-            raise ValueError(f"Invalid {name}.")
+            raise ValueError(f"{name} is not one of {', '.join(allowed)}")
     for name, (low, high) in {"ngram": (0, 7 if c.feature == "chargrams" else 5), **RANGES}.items():
         value = getattr(c, name)
         if type(value) is not int or not low <= value <= high:
-            raise ValueError(f"{name} must be an integer between {low} and {high}.")
+            raise ValueError(f"{name} has to be a whole number from {low} to {high}")
     if type(c.fold) is not bool:
-        raise ValueError("Normalization must be true or false.")
+        raise ValueError("fold has to be true or false")
     eras = list(c.eras) if isinstance(c.eras, (list, tuple)) else None
     if eras is None or any(not isinstance(e, str) or e not in groups for e in eras) or len(set(eras)) < max(2, len(eras)):
-        raise ValueError("Choose at least two distinct corpus groups.")
+        raise ValueError(TOO_FEW)
     if c.linkage == "ward" and c.distance != "euclidean":
-        raise ValueError("Ward linkage requires Euclidean distance.")
+        raise ValueError(WARD)
     ordered = tuple(g for g in groups if g in eras)
     return replace(c, eras=ordered, target=c.target if c.target in ordered else ordered[0])
 
@@ -150,11 +153,11 @@ def run(corpus: Corpus, settings: dict) -> dict:
     shown = displayed(corpus, c, samples)
     docs = sorted((r.asDict() for r in samples.drop("words", "raw_words").collect()), key=lambda r: (place[r["group"]], r["chunk"]))
     if any(not d["text"] for d in docs):
-        raise ValueError("A selected sample contains no Arabic tokens.")
+        raise ValueError("normalisation leaves no word of a sample")
     standard = feature_matrix(samples, c).cache()
     names = [r.feature for r in standard.select("feature", "place").distinct().orderBy("place").collect()]
     if len(names) < 2:
-        raise ValueError("Fewer than two varying features. Choose a different feature set or corpus.")
+        raise ValueError("no two features vary over these samples")
     row = {d["sample"]: k for k, d in enumerate(docs)}
     x, z = np.zeros((2, len(docs), len(names)))
     packed = {v: distance.packed(standard, v) for v in ("freq", "z")}
@@ -163,7 +166,7 @@ def run(corpus: Corpus, settings: dict) -> dict:
             m[row[r["sample"]]] = r.v
     empty = matrix.zero_rows(standard)
     if empty and c.distance == "cosine":
-        raise ValueError(ZERO_COSINE)
+        raise ValueError("samples without any of the features have no cosine; take more or shorter features, or another distance")
     if empty:
         warnings.append(ZERO_NOTE.format(empty))
     value = "z" if c.distance == "delta" else "freq"
@@ -180,7 +183,7 @@ def run(corpus: Corpus, settings: dict) -> dict:
     index = {leaf["id"]: k for k, leaf in enumerate(tree_leaves)}
     pairs = [(index[r.a], index[r.b], r.d) for r in tree_far.collect()]
     if any(d is None or not np.isfinite(d) for *_, d in pairs):
-        raise ValueError("Distance is undefined for these features; choose a different feature set.")
+        raise ValueError("a distance between two leaves is not defined")
     merges = cluster.linkage(cluster.square(len(tree_leaves), pairs), c.linkage)
     targets = {k for k, leaf in enumerate(tree_leaves) if leaf["era"] == c.target}
     node, total = cluster.smallest_subtree(len(tree_leaves), merges, targets)

@@ -148,16 +148,16 @@ def test_components_rebuild_the_matrix():
 
 BAD = [
     ({"eras": ["Quran"]}, "two distinct"),
-    ({"top": 5}, "top must"),
-    ({"top": True}, "top must"),
-    ({"ngram": 6}, "ngram must"),
-    ({"fold": 1}, "Normalization"),
+    ({"top": 5}, "top has"),
+    ({"top": True}, "top has"),
+    ({"ngram": 6}, "ngram has"),
+    ({"fold": 1}, "fold has"),
     ({"linkage": "ward"}, "Ward"),
-    ({"colour": 1}, "Unknown"),
+    ({"colour": 1}, "no such settings: colour"),
     ({"dataset": "x"}, "dataset"),
-    ({"feature": "x"}, "Invalid feature"),
+    ({"feature": "x"}, "feature is not"),
     ({"eras": ["Quran", "Quran"]}, "two distinct"),
-    ([], "object"),
+    ([], "dictionary"),
 ]
 
 
