@@ -1,5 +1,6 @@
 """The driver's entry with parts of the repository left out."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -12,7 +13,9 @@ ASK = "import __spark_entry__ as e; names = e.queries(); print(len(names), 'pipe
 
 
 def asked(folder) -> list[str]:
-    return subprocess.run([sys.executable, "-c", ASK], cwd=folder, capture_output=True, text=True, check=True).stdout.split()
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in paths if p and Path(p).resolve() != ROOT)}
+    return subprocess.run([sys.executable, "-c", ASK], cwd=folder, env=env, capture_output=True, text=True, check=True).stdout.split()
 
 
 @pytest.fixture
