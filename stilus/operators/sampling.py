@@ -14,8 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stilus.storage import stage
+
 #: Texts of one group whose positions a task sums up together.
 BLOCK = 4096
+#: Texts of chosen chunks are looked up by broadcasting so many places; beyond, by shuffling.
+BROADCAST = 1_000_000
 
 # An error that clients know, and two warnings that go with results.
 NO_CHUNKS = "{} has no complete chunks at this size. Reduce words per sample."
@@ -23,24 +27,33 @@ FEW_CHUNKS = "{}: only {} complete non-overlapping chunks available; requested {
 ONE_CHUNK = "{}: one sample cannot establish within-group cohesion; its silhouette contribution is zero."
 
 
-def located(texts: DataFrame, words: Column) -> DataFrame:
-    """(group, ord, ...) with n, the number of words, and begin, the words of the group before the text.
+def counted(texts: DataFrame, words: Column) -> DataFrame:
+    """Word counts (group, ord, n), written once: totals and positions need no more of the texts."""
+    return stage(texts.select("group", "ord", F.size(words).cast("long").alias("n")), "counts")
+
+
+def located(counts: DataFrame) -> DataFrame:
+    """``counts`` (group, ord, n) with begin, the words of the group before the text.
 
     ``ord`` is a whole number that orders the texts of a group and does not repeat in it.
     """
-    counted = texts.withColumn("n", F.size(words).cast("long")).withColumn("block", F.floor(F.col("ord") / BLOCK))
-    blocks = counted.groupBy("group", "block").agg(F.sum("n").alias("total"))
+    blocked = counts.withColumn("block", F.floor(F.col("ord") / BLOCK))
+    blocks = blocked.groupBy("group", "block").agg(F.sum("n").alias("total"))
     before = F.sum("total").over(Window.partitionBy("group").orderBy("block")) - F.col("total")
     within = F.sum("n").over(Window.partitionBy("group", "block").orderBy("ord")) - F.col("n")
     based = blocks.select(F.col("group").alias("_g"), F.col("block").alias("_b"), before.alias("base"))
-    placed = counted.withColumn("within", within).join(based, (F.col("group") == F.col("_g")) & (F.col("block") == F.col("_b")))
-    return placed.withColumn("begin", F.col("base") + F.col("within")).drop("_g", "_b", "base", "within", "block")
+    placed = blocked.withColumn("within", within).join(based, (F.col("group") == F.col("_g")) & (F.col("block") == F.col("_b")))
+    return placed.select("group", "ord", "n", (F.col("base") + F.col("within")).alias("begin"))
 
 
 def totals(texts: DataFrame, words: Column) -> DataFrame:
     return texts.groupBy("group").agg(F.sum(F.size(words).cast("long")).alias("total"))
 
 
+def totals_of(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("group").agg(F.sum("n").alias("total"))
+
+
 def even_chunks(total: DataFrame, width: int, count: int) -> DataFrame:
     """Up to ``count`` complete chunks of each group, spread evenly from the first to the last."""
     have = total.withColumn("available", F.expr(f"total div {width}")).filter("available > 0")
@@ -78,22 +91,28 @@ def seeded_chunks(total: DataFrame, groups: Sequence[str], width: int, count: in
     return total.sparkSession.createDataFrame(rows, "group string, chunk long"), warnings
 
 
-def cut(texts: DataFrame, words: Column, chosen: DataFrame, width: int) -> DataFrame:
-    """One row a chosen chunk: group, chunk, words (array of ``width``)."""
-    placed = located(texts, words).select("group", "n", "begin", words.alias("words"))
+def cut(texts: DataFrame, words: Column, chosen: DataFrame, width: int, counts: DataFrame | None = None) -> DataFrame:
+    """One row a chosen chunk: group, chunk, words (array of ``width``).
+
+    ``counts``: what ``counted`` gives, if it is there. Only the texts that
+    overlap a chunk are read again; each gives a word to one at least, so there
+    are no more of them than chosen words.
+    """
+    placed = located(counted(texts, words) if counts is None else counts).filter("n > 0")
     wanted = chosen.select(F.col("group").alias("_g"), "chunk", (F.col("chunk") * width).alias("low"), ((F.col("chunk") + 1) * width).alias("high"))
     overlap = (F.col("group") == F.col("_g")) & (F.col("begin") < F.col("high")) & (F.col("begin") + F.col("n") > F.col("low"))
     first = F.greatest(F.col("low") - F.col("begin"), F.lit(0))
     last = F.least(F.col("high") - F.col("begin"), F.col("n"))
-    piece = F.slice("words", (first + 1).cast("int"), (last - first).cast("int"))
-    pieces = placed.join(wanted, overlap).select("group", "chunk", F.struct("begin", piece.alias("piece")).alias("p"))
+    hits = stage(placed.join(wanted, overlap).select("group", "ord", "chunk", "begin", (first + 1).cast("int").alias("at"), (last - first).cast("int").alias("size")), "hits")
+    met = texts.join(F.broadcast(hits) if hits.count() <= BROADCAST else hits, ["group", "ord"])
+    pieces = met.select("group", "chunk", F.struct("begin", F.slice(words, F.col("at"), F.col("size")).alias("piece")).alias("p"))
     gathered = pieces.groupBy("group", "chunk").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     return gathered.select("group", "chunk", F.flatten(F.transform("ps", lambda p: p["piece"])).alias("words"))
 
 
-def samples(texts: DataFrame, words: Column, chosen: DataFrame, width: int) -> DataFrame:
+def samples(texts: DataFrame, words: Column, chosen: DataFrame, width: int, counts: DataFrame | None = None) -> DataFrame:
     """``cut`` with sample (an id), text (the words joined) and sha256 of the text."""
-    return cut(texts, words, chosen, width).select(
+    return cut(texts, words, chosen, width, counts).select(
         F.format_string("%s-%d", "group", "chunk").alias("sample"), "group", "chunk", "words", F.array_join("words", " ").alias("text")
     ).withColumn("sha256", F.sha2("text", 256))
 

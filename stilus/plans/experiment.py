@@ -105,10 +105,9 @@ def sampled(corpus: Corpus, c: Config) -> tuple[DataFrame, list[str]]:
     """The chosen samples and warnings. Chunks are chosen first, and only they are normalised."""
     texts = corpus.texts.filter(F.col("group").isin(list(c.eras)))
     words = corpus.words(F.col("text"))
-    total = sampling.totals(texts, words).cache()
-    chunks, warnings = sampling.seeded_chunks(total, corpus.groups, c.words, c.samples, c.seed, c.eras)
-    total.unpersist()
-    raw = sampling.samples(texts, words, chunks, c.words)
+    counts = sampling.counted(texts, words)
+    chunks, warnings = sampling.seeded_chunks(sampling.totals_of(counts), corpus.groups, c.words, c.samples, c.seed, c.eras)
+    raw = sampling.samples(texts, words, chunks, c.words, counts)
     made = raw.withColumnsRenamed({"text": "raw_text", "words": "raw_words"})
     made = made.withColumn("text", corpus.normalised(F.col("raw_text"), F.col("group"), c.fold))
     made = made.withColumn("analysis_sha256", F.sha2("text", 256))

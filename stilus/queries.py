@@ -54,7 +54,8 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
 
 def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = texts(spark, sf_dir)
-    return stage(sampling.samples(t, words(), sampling.even_chunks(sampling.totals(t, words()), WIDTH, COUNT), WIDTH), "samples")
+    n = sampling.counted(t, words())
+    return stage(sampling.samples(t, words(), sampling.even_chunks(sampling.totals_of(n), WIDTH, COUNT), WIDTH, n), "samples")
 
 
 def frequency_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -704,11 +705,11 @@ def arabic_normal_forms(spark, sf_dir):
 def seeded_sample(spark, sf_dir):
     """Chunks from NumPy's seeded streams, which SQL does not have; tests hold them against stored values."""
     t = texts(spark, sf_dir)
-    total = sampling.totals(t, words()).cache()
+    n = sampling.counted(t, words())
+    total = sampling.totals_of(n)
     groups = sorted(r.group for r in total.collect())
     chunks, _ = sampling.seeded_chunks(total, groups, WIDTH, 5, 42)
-    total.unpersist()
-    return sampling.samples(t, words(), chunks, WIDTH).select("sample", "group", "chunk", "sha256")
+    return sampling.samples(t, words(), chunks, WIDTH, n).select("sample", "group", "chunk", "sha256")
 
 
 PERIODS = ("عصر_اول", "عصر_ثان", "عصر_ثالث")
