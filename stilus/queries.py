@@ -884,3 +884,61 @@ def kept_once(spark, sf_dir):
     n, path = table(spark, sf_dir, "nation"), new_dir(spark, "once")
     first, second = sinks.once(n, path), sinks.once(n.limit(1), path)
     return spark.read.parquet(path).agg(F.count("*").alias("rows")).select("rows", F.lit(first).alias("first"), F.lit(second).alias("second"))
+
+
+@query(
+    r"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, conv_id, turn, regexp_extract_all(substr(text, 1, 400), '\S+') AS ws FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT rid, i, ws[i] AS word FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+l AS (SELECT rid, i, word AS done, length(word) AS width FROM w WHERE i = 1
+  UNION ALL SELECT l.rid, w.i, l.done || CASE WHEN f THEN ' ' ELSE chr(10) END || w.word, CASE WHEN f THEN l.width + 1 ELSE 0 END + length(w.word) FROM l JOIN w ON w.rid = l.rid AND w.i = l.i + 1, LATERAL (SELECT l.width + 1 + length(w.word) <= 52 AS f))
+SELECT conv_id, turn, coalesce(arg_max(done, l.i), '') AS lines FROM t LEFT JOIN l USING (rid) GROUP BY rid, conv_id, turn"""
+)
+def wrapped_captions(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").filter("text is not null")
+    return t.select("conv_id", "turn", F.array_join(tx.wrapped(52)(normalize.collapsed(F.substring("text", 1, 400))), "\n").alias("lines"))
+
+
+@query(r"SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '\S+'), ' ')) AS text FROM documents")
+def collapsed_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize.collapsed(F.col("text")), 256).alias("text"))
+
+
+@query(counts_sql(WORD_EVENTS) + ", top AS (SELECT feature FROM cnt GROUP BY feature ORDER BY sum(n) DESC, feature LIMIT 3) SELECT count(*) AS samples FROM smp WHERE NOT EXISTS (SELECT 1 FROM cnt JOIN top USING (feature) WHERE cnt.sample = smp.sample)")
+def zero_sample_rows(spark, sf_dir):
+    return spark.createDataFrame([(matrix.zero_rows(frequency_matrix(spark, sf_dir).filter("place <= 3")),)], "samples long")
+
+
+@query("SELECT count(*) FILTER (n_nationkey % 5 = 0) AS prefixed FROM nation JOIN region ON n_regionkey = r_regionkey")
+def opening_lines(spark, sf_dir):
+    return audit.prefixed(xml_verses(spark, sf_dir))
+
+
+@query(
+    MATCHED
+    + f""", h AS (SELECT *, instr(' ' || text || ' ', ' {KWIC_WORD} ') - 1 AS a FROM mat WHERE contains(' ' || text || ' ', ' {KWIC_WORD} ')),
+early AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY start_word) AS r FROM h) WHERE r = 1),
+b AS (SELECT *, text AS s, a + {len(KWIC_WORD)} AS z, substr(text, 1, greatest(a - 69, 0)) AS head, substr(text, a + {len(KWIC_WORD)} + 71) AS tail FROM early),
+c AS (SELECT *, CASE WHEN a > 70 AND contains(head, ' ') THEN length(head) - instr(reverse(head), ' ') + 1 ELSE 0 END AS l, CASE WHEN z + 70 < length(s) AND contains(tail, ' ') THEN z + 69 + instr(tail, ' ') ELSE length(s) END AS r2 FROM b)
+SELECT grp AS "group", start_word, end_word, rows, substr(s, a + 1, z - a) AS analysis_match, CASE WHEN l > 0 THEN '… ' ELSE '' END || substr(s, l + 1, a - l) AS before, substr(s, z + 1, r2 - z) || CASE WHEN r2 < length(s) THEN ' …' ELSE '' END AS after FROM c"""
+)
+def first_passage_examples(spark, sf_dir):
+    """The first known passage of each text that holds a word, as a keyword in context."""
+    found = passages.matched(streams(spark, sf_dir), known(spark, sf_dir))
+    return passages.first_example(found, KWIC_WORD, "words", F.col("text")).withColumn("rows", F.array_join("rows", ",")).drop("match")
+
+
+@query(
+    SPANS.replace("text FROM raw)", "text, event_id FROM raw)", 1)
+    + """ SELECT start AS start_word, "end" AS end_word, text, event_id AS row, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'p' || event_id END AS poets, 'shown' AS display_source_sha256 FROM sp WHERE grp = (SELECT min(grp) FROM sp)"""
+)
+def passage_index_files(spark, sf_dir):
+    """One group's passages stored as a compressed document with its source's hash, and read again by it."""
+    s = spans(spark, sf_dir)
+    own = s.join(F.broadcast(s.agg(F.min("group").alias("group"))), "group")
+    poets = F.when(F.col("rows")[0] % 3 != 0, F.array(F.concat(F.lit("p"), F.col("rows")[0])))
+    entry = F.struct("start_word", "end_word", "text", F.col("rows").alias("csv_rows"), poets.alias("poets"))
+    document = own.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.lit("analysed").alias("analysis_source_sha256"), F.lit("shown").alias("display_source_sha256"), F.collect_list(entry).alias("passages"))))
+    path = new_dir(spark, "index")
+    document.write.text(path, compression="gzip")
+    index = readers.passage_index(spark, path, "analysed", "own")
+    return index.select("start_word", "end_word", "text", F.get("rows", F.lit(0)).alias("row"), F.array_join("poets", ",").alias("poets"), "display_source_sha256")
