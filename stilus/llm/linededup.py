@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import WORD, discard, free_name, packs, stage, text_of
+from stilus.llm.common import WORD, free_name, packs, stage, text_of
 from stilus.llm.sharing import shared
 from stilus.llm.textkit import Sequences, Slab, mix, slabs
 

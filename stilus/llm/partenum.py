@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from stilus.llm.common import discard, packs, stage, text_of, worker_cache
 from stilus.llm.components import connected
-from stilus.llm.textkit import Slab, mix, shingle_sets, slabs
+from stilus.llm.textkit import mix, shingle_sets, slabs
 
 _U = np.uint64
 #: Sets of one signature that a task sends one by one; it links more among themselves and sends the first.

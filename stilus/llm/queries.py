@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stilus.llm import cascade, kneser_ney, langid, linededup, mixing, packing, partenum, sanitise, urltree, vptree
-from stilus.llm.common import documents
+from stilus.llm.common import documents, table
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return vptree.nearest(vectors, vectors.filter("id % 50 = 0"), k=5)
 
 
@@ -55,8 +55,8 @@ URL_RULES = [
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document whose id its path ends in: bad if toxic or of low quality."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
     labels = labels.groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     _, path = urltree.host_and_path(F.col("url"))
     keyed = pages.withColumn("doc_id", F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long"))
@@ -68,7 +68,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     return langid.identify(pages, *langid.fit(documents(spark, sf_dir)))
 
 
