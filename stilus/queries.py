@@ -220,10 +220,10 @@ def merges_of(spark, sf_dir, metric: str = "delta"):
     return names, cluster.linkage(cluster.square(len(names), [(place[r.a], place[r.b], r.d) for r in rows]))
 
 
-def linkage_sql(expression: str, tag: str = "") -> str:
+def linkage_sql(expression: str, tag: str = "", of: str = "std") -> str:
     """Pairs, names, merges (m), leaves below nodes (below) and heights at which leaves meet (coph), step by step."""
-    return f"""pair{tag} AS (SELECT a.sample AS a, b.sample AS b, a.grp AS group_a, b.grp AS group_b, {expression} AS d FROM std a JOIN std b ON a.feature = b.feature AND (a.grp < b.grp OR a.grp = b.grp AND a.sample < b.sample) GROUP BY ALL),
-nm{tag} AS (SELECT sample, grp, CAST(row_number() OVER (ORDER BY sample) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT sample, grp FROM std)),
+    return f"""pair{tag} AS (SELECT a.sample AS a, b.sample AS b, a.grp AS group_a, b.grp AS group_b, {expression} AS d FROM {of} a JOIN {of} b ON a.feature = b.feature AND (a.grp < b.grp OR a.grp = b.grp AND a.sample < b.sample) GROUP BY ALL),
+nm{tag} AS (SELECT sample, grp, CAST(row_number() OVER (ORDER BY sample) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT sample, grp FROM {of})),
 st{tag} AS (
   SELECT 0 AS step, least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, CASE WHEN x.k < y.k THEN 1 ELSE 1 END AS sa, 1 AS sb, p.d, (SELECT CAST(count(*) AS INTEGER) FROM nm{tag}) AS n FROM pair{tag} p JOIN nm{tag} x ON x.sample = p.a JOIN nm{tag} y ON y.sample = p.b
   UNION ALL
@@ -270,6 +270,15 @@ def smallest_subtree(spark, sf_dir):
     return spark.createDataFrame(rows, "group string, node int, targets int, members int, purity double").withColumn("verdict", tx.verdict(F.col("purity"), F.col("targets") > 1))
 
 
+@query(STANDARD_SQL.replace("WITH tok", "WITH RECURSIVE tok", 1) + ",\ncen AS (SELECT grp AS sample, grp, feature, avg(z) AS z FROM std GROUP BY grp, feature),\n" + linkage_sql(DELTA, of="cen") + " SELECT step, a AS left, b AS right, round(d, 6) AS distance, size FROM m")
+def centroid_linkage(spark, sf_dir):
+    """The tree of whole groups."""
+    rows = distance.pairwise(distance.packed(matrix.centroids(standard(spark, sf_dir), "z"), "z"), "delta").collect()
+    names = sorted({r.a for r in rows} | {r.b for r in rows})
+    merges = cluster.linkage(cluster.square(len(names), [(names.index(r.a), names.index(r.b), r.d) for r in rows]))
+    return spark.createDataFrame([(k, a, b, float(round(d, 6)), n) for k, (a, b, d, n) in enumerate(merges)], "step int, left int, right int, distance double, size int")
+
+
 RANKED = "(SELECT a, b, rank() OVER (ORDER BY round(d, 9)) + (count(*) OVER (PARTITION BY round(d, 9)) - 1) / 2.0 AS r FROM {})"
 
 
@@ -297,20 +306,41 @@ k{k + 1} AS (SELECT m.i, m.j, m.x - e{k}.value * a.x * b.x AS x FROM {of} m JOIN
 sign{k} AS (SELECT arg_max(sign(l), abs(l)) AS s FROM (SELECT feature, sum(z * v{k}.x) AS l FROM std JOIN nm USING (sample) JOIN v{k} ON v{k}.i = nm.k GROUP BY feature))"""
 
 
-@query(
+COMPONENTS = (
     STANDARD_SQL.replace("WITH tok", "WITH RECURSIVE tok", 1)
     + ", nm AS (SELECT sample, CAST(row_number() OVER (ORDER BY sample) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT sample FROM std)),\nk1 AS (SELECT x.k AS i, y.k AS j, sum(a.z * b.z) AS x FROM std a JOIN std b USING (feature) JOIN nm x ON x.sample = a.sample JOIN nm y ON y.sample = b.sample GROUP BY x.k, y.k),\n"
     + component_sql(1, "k1")
     + ",\n"
     + component_sql(2, "k2")
-    + " SELECT sample, round(v1.x * sqrt(e1.value) * sign1.s, 4) + 0.0 AS x, round(v2.x * sqrt(e2.value) * sign2.s, 4) + 0.0 AS y FROM nm JOIN v1 ON v1.i = k JOIN v2 ON v2.i = k, e1, e2, sign1, sign2"
 )
-def pca(spark, sf_dir):
+
+
+def components(spark, sf_dir):
     z = standard(spark, sf_dir)
     rows = distance.packed(z, "z").orderBy("idx").collect()
     names = [r.feature for r in z.select("feature", "place").distinct().orderBy("place").collect()]
-    coords = cluster.principal(np.array([r.v for r in rows]), names)["coords"]
-    return spark.createDataFrame([(r.sample, round(float(p[0]), 4) + 0.0, round(float(p[1]), 4) + 0.0) for r, p in zip(rows, coords, strict=True)], "sample string, x double, y double")
+    return [r["sample"] for r in rows], cluster.principal(np.array([r.v for r in rows]), names)
+
+
+@query(
+    COMPONENTS
+    + """, co AS (SELECT max(sqrt(v1.x * v1.x * e1.value + v2.x * v2.x * e2.value)) AS far, count(*) AS n FROM v1 JOIN v2 USING (i), e1, e2),
+ld AS (SELECT feature, sum(z * v1.x) * any_value(sign1.s) / sqrt(any_value(co.n) - 1) AS lx, sum(z * v2.x) * any_value(sign2.s) / sqrt(any_value(co.n) - 1) AS ly FROM std JOIN nm USING (sample) JOIN v1 ON v1.i = nm.k JOIN v2 ON v2.i = nm.k, co, sign1, sign2 GROUP BY feature),
+sc AS (SELECT 0.75 * any_value(far) / max(sqrt(lx * lx + ly * ly)) AS scale FROM ld, co)
+SELECT feature AS name, round(lx * scale, 3) + 0.0 AS x, round(ly * scale, 3) + 0.0 AS y FROM ld, sc ORDER BY lx * lx + ly * ly DESC LIMIT 20"""
+)
+def component_features(spark, sf_dir):
+    _, found = components(spark, sf_dir)
+    return spark.createDataFrame([(f["name"], round(f["x"], 3) + 0.0, round(f["y"], 3) + 0.0) for f in found["features"]], "name string, x double, y double")
+
+
+@query(
+    COMPONENTS
+    + " SELECT sample, round(v1.x * sqrt(e1.value) * sign1.s, 4) + 0.0 AS x, round(v2.x * sqrt(e2.value) * sign2.s, 4) + 0.0 AS y FROM nm JOIN v1 ON v1.i = k JOIN v2 ON v2.i = k, e1, e2, sign1, sign2"
+)
+def pca(spark, sf_dir):
+    names, found = components(spark, sf_dir)
+    return spark.createDataFrame([(n, round(float(p[0]), 4) + 0.0, round(float(p[1]), 4) + 0.0) for n, p in zip(names, found["coords"], strict=True)], "sample string, x double, y double")
 
 
 def poems(spark, sf_dir):
@@ -942,3 +972,26 @@ def passage_index_files(spark, sf_dir):
     document.write.text(path, compression="gzip")
     index = readers.passage_index(spark, path, "analysed", "own")
     return index.select("start_word", "end_word", "text", F.get("rows", F.lit(0)).alias("row"), F.array_join("poets", ",").alias("poets"), "display_source_sha256")
+
+
+@query(
+    SAMPLES
+    + f""", h AS (SELECT *, text AS s, instr(' ' || text || ' ', ' {KWIC_WORD} ') - 1 AS a FROM smp WHERE contains(' ' || text || ' ', ' {KWIC_WORD} ')),
+early AS (SELECT *, a + {len(KWIC_WORD)} AS z, substr(s, 1, greatest(a - 69, 0)) AS head, substr(s, a + {len(KWIC_WORD)} + 71) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY chunk) AS r FROM h) WHERE r = 1),
+c AS (SELECT *, CASE WHEN a > 70 AND contains(head, ' ') THEN length(head) - instr(reverse(head), ' ') + 1 ELSE 0 END AS l, CASE WHEN z + 70 < length(s) AND contains(tail, ' ') THEN z + 69 + instr(tail, ' ') ELSE length(s) END AS r2 FROM early)
+SELECT grp AS "group", sample, CASE WHEN l > 0 THEN '… ' ELSE '' END || substr(s, l + 1, a - l) AS before, substr(s, z + 1, r2 - z) || CASE WHEN r2 < length(s) THEN ' …' ELSE '' END AS after FROM c"""
+)
+def sample_examples(spark, sf_dir):
+    """The first occurrence of a word in each group's samples, as a keyword in context."""
+    none = F.lit(None).cast("array<struct<start:int,end:int,csv_rows:array<bigint>,poets:array<string>>>")
+    s = even_samples(spark, sf_dir).select("sample", "group", F.col("chunk").alias("ord"), "text", F.col("text").alias("display_text"), none.alias("display_spans"))
+    return passages.sample_examples(s, KWIC_WORD, "words").select("group", "sample", "before", "after")
+
+
+@query("SELECT r_regionkey AS id, r_name AS name FROM region")
+def json_documents(spark, sf_dir):
+    """An array in one document, written and read again."""
+    path = new_dir(spark, "document")
+    each = F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    table(spark, sf_dir, "region").agg(F.to_json(F.collect_list(each))).write.text(path)
+    return readers.json_document(spark, path, "id int, name string")
