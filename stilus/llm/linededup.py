@@ -31,6 +31,8 @@ _U = np.uint64
 LEAST, NEAR = 1, 8
 #: Texts are looked up by broadcasting their keys and line numbers up to so many bytes; beyond, by shuffling.
 BROADCAST = 16 << 20
+#: Pairs with one line that a task compares, about.
+TOGETHER = 128
 
 
 def _lines(slab: Slab, least: int):
@@ -150,9 +152,16 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, near: int = NEAR) -> Dat
     both = one.join(whole, "key").filter("line <> whole")
     later = F.col("order") > F.col("whole_order")
     inserted = both.select(F.when(later, F.col("line")).otherwise(F.col("whole")).alias("line"), F.when(later, F.col("whole")).otherwise(F.col("line")).alias("other"))
-    pairs = replaced.union(inserted).distinct()
+    pairs = stage(replaced.union(inserted).distinct(), "line-pairs")
     words = variants.filter("gone < 0").dropDuplicates(["line"]).select("line", "words")
-    checked = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("others")), "other").filter(within_one(F.col("words"), F.col("others")))
+    # A line that very many others resemble meets them in several tasks.
+    hot = stage(pairs.groupBy("other").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts")).filter("salts > 1"), "hot-lines")
+    hot = F.broadcast(hot) if hot.count() * 16 <= BROADCAST else hot
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, "other", "left").select("line", "other", F.pmod(F.xxhash64("line"), salts).cast("int").alias("salt"))
+    others = words.select(F.col("line").alias("other"), F.col("words").alias("others")).join(hot, "other", "left")
+    others = others.select("other", "others", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    checked = dealt.join(words, "line").join(others, ["other", "salt"]).filter(within_one(F.col("words"), F.col("others")))
     near_lines = checked.select("line").distinct()
     edited = first.join(near_lines, "line", "left_semi").select("order.row", "order.number", F.lit(1).alias("edited"))
     return equal.union(edited)
