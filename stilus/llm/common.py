@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stilus.storage import discard, new_dir, stage, table
 
-__all__ = ["WORD", "Blobs", "discard", "documents", "free_name", "new_dir", "packs", "stage", "table", "tasks", "text_of", "worker_cache"]
+__all__ = ["WORD", "Blobs", "discard", "documents", "free_name", "new_dir", "packs", "released", "stage", "table", "tasks", "text_of", "worker_cache"]
 
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,13 +52,27 @@ def text_of(column: str = "text"):
 _caches: dict[str, dict] = {}
 
 
+_owner: list[str | None] = []
+
+
 def worker_cache(owner: str | None = None) -> dict:
     """What an operator keeps in a reused worker from task to task; what others have kept there is dropped first."""
-    for name in [n for n in _caches if n != owner]:
-        _caches.pop(name).clear()
+    if _owner != [owner]:
+        for name in [n for n in _caches if n != owner]:
+            _caches.pop(name).clear()
+        gc.collect()
+        released()
+        _owner[:] = [owner]
     return _caches.setdefault(owner, {}) if owner else {}
 
 
+def released() -> None:
+    """Gives memory that is free, but kept by allocators for later, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Blobs:
     """Arrays kept as raw files in the shared folder, memory-mapped by readers.
 

@@ -16,11 +16,14 @@ more empty ones than that. A set that has more signs again under another
 partition of the domain, as the other then does too. Only sets that fail in
 all of several turns sign with their empty projections.
 
-Equal sets are one node, known by a fingerprint. Nodes that share a signature
-are compared with the smallest of them. Where these links leave a shared
+Equal sets are one node, known by a fingerprint. Nearly all signatures are of
+one node. So 32 bits of each, by range, are sent first; a second pass sends
+signatures with their nodes only where these bits came again. Nodes that share
+a signature are compared with the smallest of them. Where these links leave a shared
 signature in several components, the nodes around it are a cluster to compare
 in full: block against block, as matrix products that give back a forest of
-links, never a row for each pair.
+links, never a row for each pair. A block is a file that the tasks of its
+pairs read, so what is written grows with the nodes and not with the pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import discard, packs, stage, text_of, worker_cache
+from stilus.llm.common import Blobs, discard, new_dir, packs, released, stage, tasks, text_of, worker_cache
 from stilus.llm.components import connected
 from stilus.llm.textkit import mix, shingle_sets, slabs
 
@@ -229,8 +232,67 @@ def _items(width: int):
     return run
 
 
-def _signed(width: int, percent: int, parts: int):
-    """Packed (signature, node) of each range of signatures, each once a task.
+def _held(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures of the texts and their nodes, about ``HELD`` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for slab in slabs(batch.column("text")):
+            items, begin = shingle_sets(slab, width)
+            sig, of = signatures(items, begin, percent)
+            held.append((sig, fingerprints(items, begin)[of]))
+            n += len(sig)
+            if n > HELD:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _part(sig: np.ndarray, parts: int) -> np.ndarray:
+    """Which range of signatures each is in."""
+    return (((sig >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+
+
+def _low(sig: np.ndarray) -> np.ndarray:
+    return sig.astype(np.uint32)
+
+
+def _hashed(width: int, percent: int, parts: int):
+    """The low 32 bits of the signatures of each range, each once a batch; ``many``: those that several nodes of the batch have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
+        for sig, node in _held(batches, width, percent):
+            order = np.argsort(sig, kind="stable")
+            sig, node = sig[order], node[order]
+            same = sig[1:] == sig[:-1]
+            many = np.unique(sig[1:][same & (node[1:] != node[:-1])])
+            sig = sig[np.concatenate([[True], ~same])]
+            cut, cut_many = (np.searchsorted(_part(x, parts), np.arange(parts + 1)) for x in (sig, many))
+            there = np.flatnonzero(np.diff(cut)).tolist()
+            rows = [(_low(sig[cut[k] : cut[k + 1]]).tobytes(), _low(many[cut_many[k] : cut_many[k + 1]]).tobytes()) for k in there]
+            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], ["part", "low", "many"])
+        released()
+
+    return run
+
+
+def _repeated(folder: str):
+    """Writes the sorted low bits that more than one batch, or several nodes of one, have in a range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, many = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column(c)]) for c in ("low", "many"))
+        low = np.sort(low)
+        again = np.unique(np.concatenate([low[1:][low[1:] == low[:-1]], many]))
+        part = table.column("part")[0].as_py()
+        Blobs(folder).put(str(part), again)
+        return pa.table([pa.array([part], pa.int32()), pa.array([len(again)], pa.int64())], ["part", "n"])
+
+    return run
+
+
+def _signed(width: int, percent: int, parts: int, folder: str):
+    """Packed (signature, node) of each range of signatures, each once a task; those that ``folder`` does not have are of one node.
 
     A signature of many nodes of the task is sent with the first of them and
     marked; all its nodes go along, dealt by node, to be passed on.
@@ -249,7 +311,7 @@ def _signed(width: int, percent: int, parts: int):
         leads[first] = True
         passed, lead = np.flatnonzero(many), node[first[run]]
         sent = np.flatnonzero(~many | leads)
-        by = (((sig[sent] >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+        by = _part(sig[sent], parts)
         deal = (mix(node[passed]) % _U(parts)).astype(np.int64)
         passed = passed[np.argsort(deal, kind="stable")]
         deal = np.sort(deal)
@@ -266,19 +328,31 @@ def _signed(width: int, percent: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "sig", "index", "names", "many", "passed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache()
+        again = worker_cache("partenum")
+        if folder not in again:
+            again.clear()
+            again[folder] = {}
+        files, blobs = again[folder], Blobs(folder)
         held, n = [], 0
-        for batch in batches:
-            for slab in slabs(batch.column("text")):
-                items, begin = shingle_sets(slab, width)
-                sig, of = signatures(items, begin, percent)
-                held.append((sig, fingerprints(items, begin)[of]))
-                n += len(sig)
-                if n > HELD:
-                    yield packed(*map(np.concatenate, zip(*held, strict=True)))
-                    held, n = [], 0
+        for sig, node in _held(batches, width, percent):
+            order = np.argsort(sig)
+            sig, node = sig[order], node[order]
+            cut, low, keep = np.searchsorted(_part(sig, parts), np.arange(parts + 1)), _low(sig), np.zeros(len(sig), bool)
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                if k not in files:
+                    files[k] = blobs.get(str(k), np.uint32)
+                if len(files[k]):
+                    mine = low[cut[k] : cut[k + 1]]
+                    place = np.minimum(np.searchsorted(files[k], mine), len(files[k]) - 1)
+                    keep[cut[k] : cut[k + 1]] = files[k][place] == mine
+            held.append((sig[keep], node[keep]))
+            n += int(keep.sum())
+            if n > HELD:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
         if n:
             yield packed(*map(np.concatenate, zip(*held, strict=True)))
+        released()
 
     return run
 
@@ -342,65 +416,134 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, perc
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _compared(percent: int):
-    """Links (a, b) that join the components of two blocks of nodes (or of one): a forest, not all pairs.
+def _forest(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join the components of a block's nodes, or of two blocks' with each other: a forest, not all pairs.
 
-    Common shingles are counted by products of incidence matrices, some
-    columns at a time; shingles of a single node do not count.
+    Blocks are nodes, sizes of their sets, and shingles. Common shingles are
+    counted by products of incidence matrices, some columns at a time;
+    shingles of a single node do not count.
     """
+    nodes, size, items = map(np.concatenate, zip(*blocks, strict=True))
+    of = np.repeat(np.arange(len(nodes)), size)
+    _, which, times = np.unique(items, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    use = shared[which]
+    of, which = of[use], place[which[use]]
+    order = np.argsort(which, kind="stable")
+    of, which = of[order], which[order]
+    cut = len(blocks[0][0])
+    left, right = (np.arange(len(nodes)),) * 2 if len(blocks) == 1 else (np.arange(cut), np.arange(cut, len(nodes)))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(which, [low, low + COLUMNS])
+        part = np.zeros((len(nodes), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+        part[of[a:b], which[a:b] - low] = 1
+        common += part[left] @ part[right].T
+    common = common.astype(np.int64)
+    similar = 100 * common >= percent * (size[left][:, None].astype(np.int64) + size[right][None, :] - common)
+    x, y = np.nonzero(similar)
+    x, y = left[x], right[y]
+    x, y = x[x != y], y[x != y]
+    root = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        seen = root.copy()
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        root = root[root]
+        if (seen == root).all():
+            break
+    linked = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[linked]], nodes[linked]
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lists = table.column("items").combine_chunks()
+    return table.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
+
+
+def _compared(percent: int):
+    """Links of the nodes of one block."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, own = table.column("node").to_numpy(), table.column("own").to_numpy()
-        lists = table.column("items").combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        items, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(nodes)), size)
-        _, which, times = np.unique(items, return_inverse=True, return_counts=True)
-        shared = times > 1
-        place = np.cumsum(shared) - 1
-        use = shared[which]
-        of, which = of[use], place[which[use]]
-        order = np.argsort(which, kind="stable")
-        of, which = of[order], which[order]
-        same = bool((own == own[0]).all())
-        left, right = (np.arange(len(nodes)),) * 2 if same else (np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min()))
-        common = np.zeros((len(left), len(right)), np.float32)
-        for low in range(0, int(shared.sum()), COLUMNS):
-            a, b = np.searchsorted(which, [low, low + COLUMNS])
-            part = np.zeros((len(nodes), min(COLUMNS, int(shared.sum()) - low)), np.float32)
-            part[of[a:b], which[a:b] - low] = 1
-            common += part[left] @ part[right].T
-        common = common.astype(np.int64)
-        similar = 100 * common >= percent * (size[left][:, None].astype(np.int64) + size[right][None, :] - common)
-        x, y = np.nonzero(similar)
-        x, y = left[x], right[y]
-        x, y = x[x != y], y[x != y]
-        root = np.arange(len(nodes))
-        while len(x):
-            low = np.minimum(root[x], root[y])
-            seen = root.copy()
-            np.minimum.at(root, root[x], low)
-            np.minimum.at(root, root[y], low)
-            root = root[root]
-            if (seen == root).all():
-                break
-        linked = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.table([pa.array(nodes[root[linked]]), pa.array(nodes[linked])], ["a", "b"])
+        return pa.table([pa.array(x) for x in _forest([_block(table)], percent)], ["a", "b"])
+
+    return run
+
+
+def _name(cluster: int, band: int, own: int) -> str:
+    return f"{cluster & (1 << 64) - 1:016x}-{band}-{own}"
+
+
+def _kept(folder: str):
+    """Writes a block as a file of its number of nodes, nodes, sizes and shingles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, size, items = _block(table)
+        key = [table.column(c)[0].as_py() for c in ("cluster", "band", "own")]
+        Blobs(folder).put(_name(*key), np.concatenate([np.array([len(nodes)], np.int64), nodes, size, items]))
+        return pa.table([pa.array([k], pa.int64()) for k in key], ["cluster", "band", "own"])
+
+    return run
+
+
+def _read(folder: str, percent: int):
+    """Links of the pairs (cluster, band, own, other_band, other) of blocks that are kept as files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
+        blobs = Blobs(folder)
+
+        def block(*key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            data = blobs.get(_name(*key), np.int64)
+            n = int(data[0])
+            return data[1 : n + 1], data[n + 1 : 2 * n + 1], data[2 * n + 1 :]
+
+        for batch in batches:
+            for cluster, band, own, other_band, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks = [block(cluster, band, own)]
+                if (band, own) != (other_band, other):
+                    blocks.append(block(cluster, other_band, other))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(blocks, percent)], ["a", "b"])
 
     return run
 
 
-def _blocks(open_: DataFrame, items: DataFrame) -> DataFrame:
-    """Nodes dealt to the pairs of blocks in which those of a cluster meet: cluster, i, j, own, node, items.
+def _inside(clusters: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is similar in each of ``clusters`` (cluster, node).
 
-    Blocks are of so many nodes or shingles at most, about; a single larger set is what it is.
+    A block has so many nodes or shingles at most, about; a single larger set
+    is what it is. A cluster of one block is compared at once. A larger one is
+    dealt to blocks by bands of sizes, of which only neighbouring ones hold
+    similar sets. Each block is written once, however many others it meets:
+    tasks get pairs of names, and read.
     """
-    held = stage(open_.join(items, "node"), "open")
-    need = F.greatest(F.ceil(F.count("*") / TOGETHER), F.ceil(F.sum(F.size("items")) / SHINGLES)).cast("int")
-    sized = held.groupBy("cluster").agg(need.alias("blocks"))
-    dealt = held.select("cluster", "node").join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
-    return met.join(held.select("node", "items"), "node")
+    spark = clusters.sparkSession
+    held = stage(clusters.join(items, "node"), "open")
+    # A band is a little wider than the ratio of sizes that similar sets may have, so rounding puts no two of them further apart.
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(np.log(100 / percent * (1 + 1e-9)).item())).cast("long")
+    need = F.greatest(F.ceil(F.count("*") / TOGETHER), F.ceil(F.sum("n") / SHINGLES)).cast("long")
+    nodes = held.select("cluster", "node", F.size("items").alias("n"))
+    large = stage(nodes.groupBy("cluster").agg(need.alias("blocks")).filter("blocks > 1").select("cluster"), "large")
+    small = held.join(large, "cluster", "left_anti").groupBy("cluster").applyInArrow(_compared(percent), "a long, b long")
+    if large.isEmpty():
+        links = stage(small, "inside")
+        discard(held, large)
+        return links
+    banded = nodes.join(large, "cluster").withColumn("band", band)
+    sized = banded.groupBy("cluster", "band").agg(need.alias("blocks"))
+    dealt = banded.join(sized, ["cluster", "band"]).select("cluster", "band", F.pmod(F.xxhash64("node"), "blocks").alias("own"), "node")
+    folder = new_dir(spark, "blocks")
+    kept = dealt.join(held.select("node", "items"), "node").groupBy("cluster", "band", "own").applyInArrow(_kept(folder), "cluster long, band long, own long")
+    kept = stage(kept, "kept")
+    other = kept.select("cluster", F.col("band").alias("other_band"), F.col("own").alias("other"))
+    met = kept.withColumn("next", F.explode(F.array("band", F.col("band") + 1))).join(other.withColumn("next", F.col("other_band")), ["cluster", "next"]).filter("other_band > band or other >= own").select("cluster", "band", "own", "other_band", "other")
+    met = stage(met, "block-pairs")
+    paired = met.repartition(max(tasks(spark), met.count() >> 6)).mapInArrow(_read(folder, percent), "a long, b long")
+    links = stage(small.union(paired), "inside")
+    discard(held, large, kept, met, folder)
+    return links
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -419,8 +562,12 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     named = sets.filter("doc_id is not null and node is not null")
     n = packs(docs.sparkSession, sets.agg(F.sum("signed")).first()[0] or 0, 16)
     packed = "part int, sig binary, index binary, names binary, many binary, passed binary"
-    signed = texts.filter("doc_id is not null").select("text").mapInArrow(_signed(width, percent, n), packed)
+    signing, folder = texts.filter("doc_id is not null").select("text"), new_dir(docs.sparkSession, "repeated")
+    hashed = signing.mapInArrow(_hashed(width, percent, n), "part int, low binary, many binary")
+    repeated = stage(hashed.groupBy("part").applyInArrow(_repeated(folder), "part int, n long"), "repeated")
+    signed = signing.mapInArrow(_signed(width, percent, n, folder), packed)
     shared = stage(signed.groupBy("part").applyInArrow(_shared, "sig long, a long, b long"), "shared")
+    discard(repeated, folder)
     pairs = shared.filter("sig is null").select("a", "b").distinct()
     links = stage(_links(pairs, named, texts, width, percent), "links")
     repeated = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
@@ -437,9 +584,9 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         clusters = stage(connected(met).withColumnRenamed("component", "cluster"), "clusters")
         discard(met)
         items = _items_of(clusters.select("node"), named, texts, width).dropDuplicates(["node"])
-        more = _blocks(clusters, items).groupBy("cluster", "i", "j").applyInArrow(_compared(percent), "a long, b long")
+        more = _inside(clusters, items, percent)
         components = connected(components.toDF("a", "b").union(more))
-        discard(clusters)
+        discard(clusters, more)
 
     of = sets.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     first = of.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -1,6 +1,8 @@
 """Operators 1, 3 and 7 against brute force."""
 
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -147,6 +149,50 @@ def test_near_copies_around_the_threshold(spark):
     assert found == brute_components(texts, 3, 90)
 
 
+def test_a_large_cluster_is_written_once(spark, monkeypatch):
+    """Texts of many sizes around one passage, some of them near copies: each node is in one file, and no link is lost."""
+    rng = np.random.default_rng(10)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = {}
+    for i in range(0, 160, 2):
+        words = [f"w{i}x{k}" for k in range(rng.integers(5, 400))]
+        texts[i] = " ".join([*words, passage])
+        texts[i + 1] = " ".join([*words[1:], passage]) if i % 4 else " ".join([*words[: len(words) // 2], passage])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = df.select("text").mapInArrow(partenum._items(3), "node long, items array<long>").cache()
+    folders = []
+    monkeypatch.setattr(partenum, "TOGETHER", 16)
+    monkeypatch.setattr(partenum, "discard", lambda *x: folders.extend(f for f in x if isinstance(f, str)))
+    links = partenum._inside(items.select(F.lit(-1).cast("long").alias("cluster"), "node"), items, 80)
+    joined = {r.node: r.component for r in connected(links).collect()}
+    sets = {r.node: set(r["items"]) for r in items.collect()}
+    exact = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(exact) > 30 and all(joined[a] == joined[b] for a, b in exact)
+    assert set(joined) == {x for pair in exact for x in pair}
+    (folder,) = folders
+    files = [np.fromfile(f, np.int64) for f in Path(urlparse(folder).path).iterdir() if not f.name.startswith(".")]
+    assert len(files) > 5 and sorted(x for f in files for x in f[1 : f[0] + 1].tolist()) == sorted(sets)
+
+
+def test_signatures_of_one_text_are_not_sent(spark, sf_dir, monkeypatch):
+    """Of unrelated texts nearly no signature is sent with its node; of texts that resemble each other in two tasks all that they share."""
+    shapes, real = {}, partenum.stage
+
+    def staged(df, label):
+        shapes[label] = real(df, label)
+        return shapes[label]
+
+    monkeypatch.setattr(partenum, "stage", staged)
+    monkeypatch.setattr(partenum, "discard", lambda *x: None)
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(300)) for i in range(40)}
+    texts |= {100 + i: f"new {texts[i]}" for i in range(3)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in partenum.similar_documents(df, 3, 90).collect()}
+    assert found == {i: i % 100 if i >= 100 else i for i in texts}
+    all_of, sent = (shapes[x].agg(F.sum(c)).first()[0] for x, c in (("sets", "signed"), ("repeated", "n")))
+    assert 0 < sent < 0.1 * all_of
+
+
 def test_odd_documents(odd, empty):
     found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in partenum.similar_documents(odd, 3, 90).collect())
     assert found[(None, 8, None)] == 1 and found[(None, 0, None)] == 1 and found[(0, 0, 0)] == 1 and found[(2, 0, 2)] == 1
