@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stilus.llm.common import stage, text_of, worker_cache
+from stilus.llm.common import released, stage, text_of, worker_cache
 
 #: Distinct words, and word pieces, that a worker remembers.
-CACHE = 600_000
+CACHE = 250_000
+#: Bytes of ids that a task holds before it sends them.
+HELD = 4 << 20
 #: Words that pass through the plain route: ASCII and Latin-1 letters only need lower-casing.
 _PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
 
@@ -99,7 +101,7 @@ def _tokenise(path: str, end_id: int):
             k = 0
             while k < len(texts):
                 ids, size, begin = [], 0, k
-                while k < len(texts) and size < 4 << 20:
+                while k < len(texts) and size < HELD:
                     text = texts[k].as_py()
                     words = _CHUNKS(text) if any(c in text for c in _SEPARATORS) else text.split()
                     ids.append(b"".join(map(look, words)) + end)
@@ -112,13 +114,25 @@ def _tokenise(path: str, end_id: int):
                     [pa.array(np.full(len(n), part, np.int32)), pa.array(np.full(len(n), width, np.int32)), pa.array(starts), ids_of.slice(begin, k - begin), pa.array(n), pa.array(ids, pa.binary())],
                     ["part", "width", "at", "doc_id", "doc_tokens", "ids"],
                 )
+        released()
 
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``HELD`` bytes of ids at a time; a longer document is a slice of its own."""
+    for batch in batches:
+        ends, k = 4 * np.cumsum(batch.column("doc_tokens").to_numpy()), 0
+        while k < len(ends):
+            end = max(k + 1, int(np.searchsorted(ends, HELD + (ends[k - 1] if k else 0), side="right")))
+            yield batch.slice(k, end - k)
+            k = end
+
+
 def _cut(base: dict[int, int], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache()
+        for batch in _slices(batches):
             part, width, at, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("part", "width", "at", "doc_tokens"))
             begin = at + np.array([base[p] for p in part.tolist()], np.int64)
             first, last = begin // window, (begin + n - 1) // window

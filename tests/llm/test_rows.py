@@ -8,12 +8,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stilus.llm import cascade, kneser_ney, langid, mixing, packing, queries, sanitise, urltree
+from stilus.llm import cascade, common, kneser_ney, langid, mixing, packing, queries, sanitise, urltree
 from stilus.llm.common import stage
 
 from .conftest import LINE, WORDS, lowered
@@ -558,3 +559,22 @@ def test_quality_sql(spark, sf_dir):
     rel = con.sql(queries.oracle_sql()["op5_quality_rules"])
     place = [rel.columns.index(c) for c in df.columns]
     assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in place) for r in rel.fetchall())
+
+
+def test_pieces_are_sent_a_few_megabytes_at_a_time():
+    """The second pass keeps no tokenizer, and sends no batch of far more than it may hold."""
+    common.worker_cache("packing")["path"] = "tokenizer"
+    rng = np.random.default_rng(3)
+    n = np.append(rng.integers(1, 9000, 1500), 3 * packing.HELD)
+    at = np.cumsum(n) - n
+    ids = [rng.integers(0, 49000, k).astype("<u2").tobytes() for k in n]
+    columns = [np.zeros(len(n), np.int32), np.full(len(n), 2, np.int32), at, np.arange(len(n)), n]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ids, pa.binary())], ["part", "width", "at", "doc_id", "doc_tokens", "ids"])
+    sent = list(packing._cut({0: 0}, 4096)(iter([batch])))
+    assert common._caches == {}
+    assert all(b.column("ids").nbytes < 2 * packing.HELD or len(set(b.column("doc_id").to_pylist())) == 1 for b in sent)
+    found = {}
+    for b in sent:
+        for i, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            found[i] = found.get(i, b"") + np.frombuffer(x, "<u4").astype("<u2").tobytes()
+    assert [found[i] for i in range(len(n))] == ids
