@@ -5,11 +5,13 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -578,3 +580,32 @@ def test_pieces_are_sent_a_few_megabytes_at_a_time():
         for i, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
             found[i] = found.get(i, b"") + np.frombuffer(x, "<u4").astype("<u2").tobytes()
     assert [found[i] for i in range(len(n))] == ids
+
+
+def test_plain_words_are_encoded_together(monkeypatch):
+    """Only words that are not plain, and very long parts, take a call of the tokenizer each; the ids are the tokenizer's."""
+    real, calls = Tokenizer.from_file(PATH), Counter()
+
+    def counted(f):
+        return lambda word, **options: calls.update([word]) or f(word, **options)
+
+    made = SimpleNamespace(encode=counted(real.encode), model=SimpleNamespace(tokenize=counted(real.model.tokenize)), get_vocab_size=real.get_vocab_size)
+    monkeypatch.setattr(tokenizers, "Tokenizer", SimpleNamespace(from_file=lambda path: made))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(4)
+    signs = ["etaoinsh", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "'strvemldll'SLa", "éàüßÀÉÖØÞÿabc", "aB1'2,.!?-_<>", "=-'."]
+    words = ["".join(rng.choice(list(signs[k % len(signs)]), rng.integers(1, 17))) for k in range(12000)]
+    odd = ["<|endoftext|>", "a<|startoftext|>b", "ÀΣİſK", "x²½ª", "a×b÷c", "cafe\u0301", "c\xa0d\x85e\x1cf", "漢字", "😀!", "<|x", "x" * 500, "='" * 90]
+    words += [w for w in odd for _ in range(3)]
+    rng.shuffle(words)
+    texts = ["", " \t\n\x0b\x0c\r ", *(" ".join(words[k : k + 50]) for k in range(0, len(words), 50)), " don't\n'tis ''s 's's I'LL x'r x'l 'sabc 're've'd o'clock' "]
+    monkeypatch.setattr(packing, "READ", 8192, raising=False)
+    common.worker_cache()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    sent = list(packing._tokenise(PATH, 2)(iter([batch.slice(0, 3), batch.slice(3)])))
+    common.worker_cache()
+    got = [x for b in sent for x in b.column("ids").to_pylist()]
+    want = [np.array(real.encode(t, add_special_tokens=False).ids + [2], "<u2").tobytes() for t in texts]
+    assert got == want and [n for b in sent for n in b.column("doc_tokens").to_pylist()] == [len(x) // 2 for x in want]
+    assert [n for b in sent for n in b.column("at").to_pylist()] == [0, *np.cumsum([len(x) // 2 for x in want]).tolist()[:-1]]
+    assert len(calls) <= len(odd) and len(sent) > 10
