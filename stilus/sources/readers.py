@@ -29,7 +29,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_records(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """A CSV with header, quoted line breaks and a byte order mark; all strings; record numbers from 2 in the file's order."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    # Left to itself, the parser takes NUL to escape the escape and drops it.
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', charToEscapeQuoteEscaping='"', encoding="UTF-8")
     rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns)).na.fill("")
     return numbered(rows, "record", first=2).withColumnsRenamed(names or {})
 

@@ -19,10 +19,13 @@ from stilus.functions import text as tx
 
 
 def table(df: DataFrame, path: str, kind: str = "csv", mode: str = "errorifexists") -> None:
-    """A table as CSV, JSON lines or gzip JSON lines, in as many files as it has partitions."""
+    """A table as CSV, JSON lines or gzip JSON lines, in as many files as it has partitions.
+
+    CSV cells keep the white space at their ends.
+    """
     writer = df.write.mode(mode)
     if kind == "csv":
-        writer.csv(path, header=True, escape='"')
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         writer.json(path, compression="gzip" if kind == "json.gz" else "none")
 

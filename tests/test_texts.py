@@ -228,6 +228,13 @@ def test_readers(spark, tmp_path):
     assert readers.feature_kinds(spark).count() == 6
 
 
+def test_csv_keeps_every_character(spark, tmp_path):
+    texts = [" a", "a ", "\ta\t", "\na", "a\n", "a\r\n", "\r", " ", "a\0b", "\0", '"', 'a\0"', '",\n"', "\\", "é\u00a0", "\ufeffa", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(2)
+    sinks.table(df, str(tmp_path / "t"))
+    assert {int(r.n): r.t for r in readers.csv_records(spark, str(tmp_path / "t")).collect()} == {n: t or "" for n, t in enumerate(texts)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a"b'), (2, "é")], "n int, t string")
     sinks.csv_file(df, str(tmp_path / "a.csv"), quote_all=True)
