@@ -104,7 +104,8 @@ def _islands(intervals: DataFrame, order: list[Column], apart) -> DataFrame:
     reach = F.greatest("_before", F.max("end").over(earlier))
     begun = reached.withColumn("_new", F.coalesce(apart(reach).cast("int"), F.lit(1))).drop("_before")
     numbered = based(begun, F.sum("_new"), F.sum)
-    island = F.coalesce("_before", F.lit(0)) + F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    # Equal intervals share an island: by rows, one that a sort puts before the equal one that begins it would stay in the last.
+    island = F.coalesce("_before", F.lit(0)) + F.sum("_new").over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return numbered.withColumn("island", island).drop("_b", "_new", "_before")
 
 

@@ -2,6 +2,8 @@
 
 import gzip
 import json
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,24 @@ def test_selection_equals_a_sweep(spark):
     assert sorted((r.start, r.end) for r in passages.selected(m).collect()) == kept
 
 
+EQUAL = """
+from pyspark.sql import SparkSession, functions as F
+from stilus.operators import passages
+conf = {"spark.sql.shuffle.partitions": "2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.ui.enabled": "false", "spark.shuffle.spill.numElementsForceSpillThreshold": "37"}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+each = spark.range(2400).select(F.lit("g").alias("group"), (F.col("id") % 300 * 10).cast("int").alias("start"), F.array("id").alias("rows"))
+m = each.select("*", (F.col("start") + 5).alias("end"), F.lit("aaaaa").alias("text"), F.col("start").alias("start_word"), (F.col("start") + 5).alias("end_word"))
+wanted = [(10 * k, 10 * k + 5) for k in range(300)]
+print(sorted((r.start, r.end) for r in passages.merged(m.select("group", "start", "end")).collect()) == wanted, sorted((r.start, r.end) for r in passages.selected(m).collect()) == wanted)
+"""
+
+
+def test_equal_intervals_share_an_island_when_sorts_spill():
+    """Sorts that spill put equal rows in any order, another one each time; a session of its own makes them spill."""
+    made = subprocess.run([sys.executable, "-c", EQUAL], capture_output=True, text=True, check=True)
+    assert made.stdout.split() == ["True", "True"]
+
+
 def test_overlay_clips_and_checks(spark):
     s = spark.createDataFrame([("s", "g", 1, ["bb", "", "cc", "dd"], "bb cc dd")], "sample string, group string, start_word int, tokens array<string>, text string")
     schema = "group string, start int, end int, start_word int, end_word int, text string, rows array<long>, poets array<string>"
