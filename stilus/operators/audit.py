@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 def word_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     """(line, text) of both versions, joined by line and word: line, word, before, after (null where one is shorter).
 
-    Lines are joined whole, so a word moves only with its line.
+    Lines are joined as texts and split then, so a word moves only with its line, and no array of words is shuffled.
     """
     none = F.expr("cast(array() as array<string>)")
-    split = lambda df, name: df.select("line", F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)).alias(name))
-    both = split(old, "before").join(split(new, "after"), "line", "full_outer")
-    zipped = F.arrays_zip(F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+    both = old.select("line", F.col("text").alias("x")).join(new.select("line", F.col("text").alias("y")), "line", "full_outer")
+    split = lambda text: F.coalesce(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)), none)
+    zipped = F.arrays_zip(split("x").alias("before"), split("y").alias("after"))
     return both.select("line", F.posexplode(zipped).alias("word", "p")).select("line", F.col("word") + 1, "p.before", "p.after").toDF("line", "word", "before", "after")
 
 
@@ -30,8 +30,8 @@ def confusions(pairs: DataFrame) -> DataFrame:
 
 def restored_letters(old: DataFrame, new: DataFrame) -> DataFrame:
     """letter, occurrences: letters of the new version where the old one has another at the same place."""
-    both = old.select("line", F.split("text", "").alias("x")).join(new.select("line", F.split("text", "").alias("y")), "line")
-    differ = F.filter(F.zip_with("x", "y", lambda x, y: F.when(x != y, y)), lambda y: y.isNotNull())
+    both = old.select("line", F.col("text").alias("x")).join(new.select("line", F.col("text").alias("y")), "line").filter("x <> y")
+    differ = F.filter(F.zip_with(F.split("x", ""), F.split("y", ""), lambda x, y: F.when(x != y, y)), lambda y: y.isNotNull())
     return both.select(F.explode(differ).alias("letter")).groupBy("letter").agg(F.count("*").alias("occurrences"))
 
 

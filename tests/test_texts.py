@@ -155,6 +155,14 @@ def test_audit(spark):
     assert audit.prefixed(v).first().prefixed == 1
 
 
+def test_versions_meet_as_texts(spark):
+    old = spark.range(3).select(F.col("id").alias("line"), F.col("id").cast("string").alias("text"))
+    new = old.withColumn("text", F.concat("text", F.lit(" x")))
+    for made, cut in ((audit.restored_letters(old, new), "split("), (audit.word_pairs(old, new), "regexp_extract_all(")):
+        above, below = made._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+        assert cut in above and cut not in below
+
+
 def brute_cues(words):
     out, group = [], []
 
