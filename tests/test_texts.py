@@ -5,9 +5,11 @@ import json
 import subprocess
 import sys
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from stilus import queries
 from stilus.operators import audit, cues, passages, profile
 from stilus.sources import readers, sinks
 from stilus.streaming import cues as streaming_cues
@@ -237,6 +239,16 @@ def test_splice_translate_check(spark):
     assert cues.wrapped(cues.translated(c, t), 3).filter("source_id = '1.2'").orderBy("start").first().text == "a b"
 
 
+def test_captions_of_the_query_keep_line_ends_as_its_sql(spark, tmp_path):
+    rows = [(1, 3, "user", " a \n"), (1, 4, "user", "x" * 119 + "\nmore"), (1, 5, "user", "\u00a0\tb \u3000"), (1, 6, "user", "c\r\n "), (1, 7, "user", " ")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    made = sorted((r.source_id, r.k, r.text) for r in queries.found["translated_captions"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert made == sorted(con.sql(f"SELECT source_id, k, text FROM ({queries.sql['translated_captions']})").fetchall())
+    assert ("1.3", 0, "a \n") in made and ("1.4", 1, "x" * 119 + "\n") in made
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("﻿# note\none two\n  # more\nthree four\n", encoding="utf-8")
     assert readers.corpus(spark, str(tmp_path / "a.txt")).first().text.split() == ["one", "two", "three", "four"]
